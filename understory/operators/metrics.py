@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from understory.functions import fixed, stats
 from understory.functions.exprs import as_col, between, clip, equal_width_bin, height_class
-from understory.operators.order import average_ranks, exact_quantiles
+from understory.operators.order import average_ranks, exact_quantiles, value_counts
 
 
 def _by(df: DataFrame, keys: Sequence[str]):
@@ -336,24 +336,19 @@ def color_range(df: DataFrame, pred: str, ref: str, scale: float = 1.0, limit: f
                 min_values: int = 100) -> DataFrame:
     """Display range: 1st and 99th percentile of both sides inside (0, limit)."""
     both = stacked(df.withColumn(pred, F.col(pred) * scale), [], [ref, pred], "side", "v")
-    shown = both.where(between("v", 0, limit))
-    cuts = exact_quantiles(shown, [], "v", [0.01, 0.99], "q_both")
-    ref_only = exact_quantiles(shown.where(F.col("side") == ref), [], "v", [0.01, 0.99], "q_ref")
-    counts = shown.agg(F.count(F.lit(1)).alias("n_both"),
-                       F.count_if(F.col("side") == ref).alias("n_ref"))
-    wide = _pair_rows_left(_pair_rows_left(counts, cuts), ref_only)
-    fallback = F.array(F.lit(0.0), F.lit(40.0))
-    chosen = (F.when(F.col("n_both") > min_values, F.col("q_both"))
-              .when(F.col("n_ref") > min_values, F.col("q_ref")).otherwise(fallback))
+    shown = both.where(between("v", 0, limit)).withColumn("_set", F.explode(
+        F.when(F.col("side") == ref, F.array(F.lit("both"), F.lit("ref"))).otherwise(F.array(F.lit("both")))))
+    counts = value_counts(shown, ["_set"], "v")
+    cuts = exact_quantiles(counts, ["_set"], "v", [0.01, 0.99], "_q", weight="n")
+    sizes = counts.groupBy("_set").agg(F.sum("n").alias("_k")).where(F.col("_k") > min_values)
+    wide = cuts.join(sizes, "_set").agg(
+        F.max(F.when(F.col("_set") == "both", F.col("_q"))).alias("q_both"),
+        F.max(F.when(F.col("_set") == "ref", F.col("_q"))).alias("q_ref"))
+    chosen = F.coalesce("q_both", "q_ref", F.array(F.lit(0.0), F.lit(40.0)))
     return wide.select(F.greatest(F.lit(0.0), F.get(chosen, 0)).alias("low"),
                        F.least(F.lit(limit), F.get(chosen, 1)).alias("high"))
 
 
-def _pair_rows_left(left: DataFrame, right: DataFrame) -> DataFrame:
-    return (left.withColumn("_one", F.lit(1))
-            .join(right.withColumn("_one", F.lit(1)), "_one", "left").drop("_one"))
-
-
 # ---- losses ---------------------------------------------------------------------
 
 def class_weights(df: DataFrame, value: str, edges: Sequence[float] = fixed.HEIGHT_EDGES) -> DataFrame:

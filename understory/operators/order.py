@@ -42,17 +42,38 @@ def _large_groups(counts: DataFrame, keys: Sequence[str], limit: int) -> DataFra
             .where(F.col("_distinct") > limit).select(*keys))
 
 
+_PROBS = ", ".join(f"{i / SPLITS}D" for i in range(1, SPLITS))
+
+
 def _cut(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Add the value range ``_part`` of each row; split points are approximate quantiles,
     which only decide how evenly the work is spread, never the result."""
-    probs = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
     cuts = rows.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(value, probs, 10_000)).alias("_cuts"))
+        F.expr(f"array_distinct(percentile_approx(`{value}`, array({_PROBS}), 10000))").alias("_cuts"))
     return (rows.join(cuts, list(keys))
             .withColumn("_part", F.size(F.filter("_cuts", lambda s: s < F.col(value))))
             .drop("_cuts"))
 
 
+def _run_in_parts(rows: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
+    """``running_counts`` for groups too large for one task."""
+    whole = W.partitionBy(*keys)
+    parts = _cut(rows, keys, value)
+    totals = parts.groupBy(*keys, "_part").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
+    part_below = whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(
+        *keys, "_part",
+        *[F.coalesce(F.sum(f"_{s}").over(part_below), F.lit(0)).alias(f"_{s}_off") for s in sums],
+        *[F.sum(f"_{s}").over(whole).alias(f"{s}_total") for s in sums])
+    inside = (W.partitionBy(*keys, "_part").orderBy(value)
+              .rowsBetween(W.unboundedPreceding, -1))
+    return parts.join(offsets, [*keys, "_part"]).select(
+        *keys, value, *sums,
+        *[(F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"_{s}_off")).alias(f"{s}_before")
+          for s in sums],
+        *[f"{s}_total" for s in sums])
+
+
 def running_counts(counts: DataFrame, keys: Sequence[str], value: str,
                    limit: int = GROUP_LIMIT, sums: Sequence[str] = ("n",)) -> DataFrame:
     """Add, for each distinct value, what lies strictly below it and the group total.
@@ -70,20 +91,7 @@ def running_counts(counts: DataFrame, keys: Sequence[str], value: str,
         *[F.coalesce(F.sum(s).over(below), F.lit(0)).alias(f"{s}_before") for s in sums],
         *[F.sum(s).over(whole).alias(f"{s}_total") for s in sums])
 
-    parts = _cut(base.join(large, keys, "left_semi"), keys, value)
-    totals = parts.groupBy(*keys, "_part").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
-    part_below = whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "_part",
-        *[F.coalesce(F.sum(f"_{s}").over(part_below), F.lit(0)).alias(f"_{s}_off") for s in sums],
-        *[F.sum(f"_{s}").over(whole).alias(f"{s}_total") for s in sums])
-    inside = (W.partitionBy(*keys, "_part").orderBy(value)
-              .rowsBetween(W.unboundedPreceding, -1))
-    cut = parts.join(offsets, [*keys, "_part"]).select(
-        *keys, value, *sums,
-        *[(F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"_{s}_off")).alias(f"{s}_before")
-          for s in sums],
-        *[f"{s}_total" for s in sums])
+    cut = _run_in_parts(base.join(large, keys, "left_semi"), keys, value, sums)
     return small.unionByName(cut)
 
 
@@ -97,7 +105,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     small = (counts.join(large, group, "left_anti").groupBy(*group)
              .agg(F.percentile("_v", wanted, F.col("n")).alias(out)))
 
-    placed = running_counts(counts.join(large, group, "left_semi"), group, "_v", limit=0)
+    placed = _run_in_parts(counts.join(large, group, "left_semi"), group, "_v", ["n"])
     target = placed.select(
         *group, "_v", "n", "n_before",
         F.posexplode(F.transform(wanted, lambda p: p * (F.col("n_total") - 1))).alias("_i", "_pos"))

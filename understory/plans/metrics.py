@@ -486,12 +486,12 @@ def masked_loss(t):
 AUC_SQL = """auc AS (SELECT (sum(CASE WHEN y = 1 THEN rk END) - max(np) * (max(np) + 1) / 2.0) / (max(np) * max(nn)) AS auc FROM (
   SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk,
    sum(y) OVER () AS np, count(*) OVER () - sum(y) OVER () AS nn FROM lab))"""
-LAB_SQL = "lab AS (SELECT CASE WHEN abs(reference_height - rh) <= 10 THEN 1 ELSE 0 END AS y, sensitivity - mean_corr / 2 AS s FROM footprints)"
+LAB_SQL = "lab AS (SELECT CASE WHEN abs(reference_height - rh) <= 5 THEN 1 ELSE 0 END AS y, sensitivity - mean_corr / 2 AS s FROM footprints)"
 
 
 def labelled(t):
     return t.footprints.select(
-        (F.abs(F.col("reference_height") - F.col("rh")) <= fixed.QUALITY_M).cast("int").alias("y"),
+        (F.abs(F.col("reference_height") - F.col("rh")) <= fixed.AGREEMENT_M).cast("int").alias("y"),
         (F.col("sensitivity") - F.col("mean_corr") / 2).alias("s"))
 
 
