@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from understory.functions import fixed, stats
 from understory.functions.exprs import as_col, between, clip, equal_width_bin, height_class
+from understory.session import written
 from understory.operators.order import average_ranks, exact_quantiles, value_counts
 
 
@@ -53,7 +54,8 @@ def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFra
     from understory.operators.order import null_safe_keys
 
     df, group = null_safe_keys(finite_pairs(df, x, y), keys)
-    pairs = df.groupBy(*group, x, y).agg(F.count(F.lit(1)).alias("w"))
+    # read by both rankings and the final join, so it is written once instead of recomputed
+    pairs = written(df.groupBy(*group, x, y).agg(F.count(F.lit(1)).alias("w")), "rank-pairs")
     rx = average_ranks(pairs, group, x, "rx", "w").select(*group, x, "rx", "n_total")
     ry = average_ranks(pairs, group, y, "ry", "w").select(*group, y, "ry")
     centre = (F.col("n_total") + 1) / 2.0

@@ -46,7 +46,7 @@ VIEWS: dict[str, str] = {
       l_quantity * 1.1::DOUBLE - l_tax * 30.0::DOUBLE AS ch_lang2022,
       CASE WHEN l_partkey % 11 <> 0 THEN l_quantity * 0.8::DOUBLE + l_discount * 40.0::DOUBLE END AS ch_tolan2024,
       CASE WHEN l_suppkey % 5 <> 0 THEN l_quantity * 0.9::DOUBLE + l_tax * 50.0::DOUBLE END AS ch_pauls2024,
-      l_discount AS mean_asm, l_tax AS mean_contrast, l_extendedprice / 99991.0 AS mean_corr,
+      l_discount AS mean_asm, l_tax AS mean_contrast, (l_extendedprice + (l_partkey % 97) * 500.0::DOUBLE) / 99991.0 AS mean_corr,
       l_extendedprice / 1000.0 - l_quantity AS mean_var,
       CASE WHEN l_partkey % 13 <> 0 THEN l_extendedprice / l_quantity / 1013.0 END AS mean_ent,
       l_linenumber * 2.0::DOUBLE AS median_savg

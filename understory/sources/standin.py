@@ -68,7 +68,7 @@ class Tables:
             F.when(part % 11 != 0, qty * 0.8 + disc * 40.0).alias("ch_tolan2024"),
             F.when(supp % 5 != 0, qty * 0.9 + tax * 50.0).alias("ch_pauls2024"),
             disc.alias("mean_asm"), tax.alias("mean_contrast"),
-            (price / 99991.0).alias("mean_corr"),
+            ((price + (part % 97) * 500.0) / 99991.0).alias("mean_corr"),
             (price / 1000.0 - qty).alias("mean_var"),
             F.when(part % 13 != 0, price / qty / 1013.0).alias("mean_ent"),
             (line * 2.0).alias("median_savg"),
