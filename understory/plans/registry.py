@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from understory.plans.views import with_views
 from understory.sources.standin import Tables
 
-MODULES = ["metrics", "projections", "aggregations", "joins", "textures"]
+MODULES = ["metrics", "projections", "aggregations", "joins", "textures", "windows"]
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
