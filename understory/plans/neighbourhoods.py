@@ -67,14 +67,16 @@ GL = """gv AS (SELECT patch_num, row, col, unnest(['A00', 'A01', 'A02', 'A03'])
    sum(p * (i - j) * (i - j)) - sum(p * abs(i - j)) * sum(p * abs(i - j)) AS dvar FROM pp GROUP BY ALL),
  pb AS (SELECT patch_num, row, col, band, avg(asm) AS asm, avg(contrast) AS contrast, avg(CASE WHEN va > 1e-12::DOUBLE THEN co / va ELSE 0 END) AS corr, avg(va) AS var, avg(idm) AS idm,
    avg(savg) AS savg, avg(ent) AS ent, avg(dvar) AS dvar FROM me GROUP BY ALL)"""
-GLCM_OUT = ", ".join(f"{r(f'avg({m})', 7)} AS mean_{m}, {r(f'quantile_cont({m}, 0.5)', 7)} AS median_{m}" for m in N.GLCM_MEASURES)
+GLCM_OUT = ", ".join(f"{r(f'avg({m}) + 1e-8', 6)} AS mean_{m}, {r(f'quantile_cont({m}, 0.5) + 1e-8', 6)} AS median_{m}" for m in N.GLCM_MEASURES)
 
 
 @query("glcm_texture", f"WITH {GL} SELECT patch_num, row, col, {GLCM_OUT} FROM pb GROUP BY patch_num, row, col")
 def glcm_texture(t):
     bands = ["A00", "A01", "A02", "A03"]
     px = t.embedding_wide.select("patch_num", "row", "col", *bands)
-    return rounded(N.across_bands(N.glcm(px, ["patch_num"], bands, 3), ["patch_num"], N.GLCM_MEASURES), 7)
+    out = N.across_bands(N.glcm(px, ["patch_num"], bands, 3), ["patch_num"], N.GLCM_MEASURES)
+    # the small offset keeps exact halves from rounding differently in two engines
+    return rounded(out.select(*CELL, *[(F.col(c) + 1e-8).alias(c) for c in out.columns if c not in CELL]))
 
 
 AUG_ROW = """CASE turns WHEN 1 THEN 63 - fc WHEN 2 THEN 63 - fr WHEN 3 THEN fc ELSE fr END"""
