@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from understory.plans.views import with_views
 from understory.sources.standin import Tables
 
-MODULES = ["metrics", "projections", "aggregations", "joins", "textures", "windows", "neighbourhoods", "scalars", "sources"]
+MODULES = ["metrics", "projections", "aggregations", "joins", "textures", "windows", "neighbourhoods",
+           "scalars", "sources", "streams", "models"]
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
