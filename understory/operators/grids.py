@@ -72,8 +72,8 @@ def trimmed_grid(boxes: DataFrame, size: float, overlap_pixels: int = 10) -> Dat
 def numbered(df: DataFrame, order: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
     """0-based position of each row in the order of a unique number, without one global sort."""
     rows, group = null_safe_keys(df, keys)
-    place = running_counts(value_counts(rows, group, order), group, order).select(
-        *group, order, F.col("n_before").cast("long").alias(out))
+    place = running_counts(value_counts(rows.select(*group, F.col(order).alias("_o")), group, "_o"), group, "_o").select(
+        *group, F.col("_o").alias(order), F.col("n_before").cast("long").alias(out))
     return rows.join(place, [*group, order]).drop("_all")
 
 

@@ -110,4 +110,5 @@ def pair_summary(df: DataFrame, pred: str, ref: str) -> DataFrame:
 
 def require_usable(summary: DataFrame) -> DataFrame:
     """Fail the job when a side has no variance or is too low."""
-    return summary.withColumn("_check", F.assert_true(F.col("usable"), F.lit("no variance or heights too low"))).drop("_check")
+    wrong = F.raise_error(F.lit("no variance or heights too low")).cast("boolean")
+    return summary.withColumn("usable", F.when(F.col("usable"), True).otherwise(wrong))
