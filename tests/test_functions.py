@@ -98,3 +98,14 @@ def test_texture_of_a_flat_patch(spark):
     rows = N.glcm(cells, ["grid"], ["v"]).collect()
     assert len(rows) == 16
     assert all(r.asm == pytest.approx(1) and r.ent == pytest.approx(0) and r.contrast == 0 and r.idm == pytest.approx(1) for r in rows)
+
+
+def test_focal_mean_across_tiles_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(N, "TILE", 5)
+    cells = [(r, c, float((r * 31 + c * 17) % 23)) for r in range(13) for c in range(12) if (r * c) % 7 != 3]
+    df = spark.createDataFrame([(1, *x) for x in cells], "grid int, row int, col int, v double")
+    got = {(x.row, x.col): x.v_filtered for x in N.focal_mean(df, ["grid"], ["v"], 2).collect()}
+    assert set(got) == {(r, c) for r, c, _ in cells}
+    for r, c, _ in cells:
+        near = [v for y, x, v in cells if abs(y - r) <= 2 and abs(x - c) <= 2]
+        assert got[(r, c)] == pytest.approx(sum(near) / len(near))

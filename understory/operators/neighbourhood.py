@@ -9,7 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from understory.functions.exprs import ColumnLike, as_col
 from understory.operators.order import exact_medians
@@ -39,12 +42,62 @@ def window_moments(df: DataFrame, keys: Sequence[str], value: str, radius: int)
         F.max(F.when(here, F.col(value))).alias(value)).where(F.col(value).isNotNull()))
 
 
+TILE = 256
+
+
+def _tiles(position: str, radius: int) -> Column:
+    """Tiles whose cells, grown by the radius, hold this position, within the grid's own tiles."""
+    def tile(c: Column) -> Column:
+        return F.floor(c / TILE).cast("int")
+
+    first, last = (tile(F.col(f"_{end}_{position}")) for end in ("min", "max"))
+    return F.sequence(F.greatest(first, tile(F.col(position) - radius)), F.least(last, tile(F.col(position) + radius)))
+
+
+def _box_means(pdf: pd.DataFrame, top: int, left: int, bands: Sequence[str], radius: int) -> pd.DataFrame:
+    """Square means of the cells of one tile from the tile's cells and their surroundings."""
+    bands = list(bands)
+    row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+    own = (row >= top) & (row < top + TILE) & (col >= left) & (col < left + TILE)
+    r, c = row - row.min() + radius, col - col.min() + radius
+    shape = (int(r.max()) + radius + 1, int(c.max()) + radius + 1)
+
+    def box(values: np.ndarray) -> np.ndarray:
+        grid = np.zeros(shape)
+        np.add.at(grid, (r, c), values)
+        reach = range(2 * radius + 1)
+        rows = sum(grid[d:shape[0] - 2 * radius + d] for d in reach)
+        whole = sum(rows[:, d:shape[1] - 2 * radius + d] for d in reach)
+        return whole[r[own] - radius, c[own] - radius]
+
+    out = pdf.loc[own, [k for k in pdf.columns if k not in (*bands, "_tr", "_tc")]].copy()
+    for b in bands:
+        held = pdf[b].notna().to_numpy()
+        count = box(held.astype(float))
+        out[f"{b}_filtered"] = np.where(count > 0, box(pdf[b].fillna(0.0).to_numpy()) / np.maximum(count, 1), np.nan)
+    return out
+
+
 def focal_mean(df: DataFrame, keys: Sequence[str], bands: Sequence[str], radius: int = 3) -> DataFrame:
-    sent = spread(df, keys, bands, offsets(radius))
-    here = (F.col("dy") == 0) & (F.col("dx") == 0)
-    return (sent.groupBy(*keys, *CELL).agg(F.count_if(here).alias("_own"),
-                                           *[F.avg(b).alias(f"{b}_filtered") for b in bands])
-            .where(F.col("_own") > 0).drop("_own"))
+    """Square mean around every cell.
+
+    Spark groups cells into square tiles with a margin, so a cell travels once (up to four
+    times near tile corners) instead of once per neighbour; a tile holds a bounded number
+    of cells and is summed with numpy.
+    """
+    extent = df.groupBy(*keys).agg(*[f(c).alias(f"_{n}_{c}") for c in CELL for n, f in (("min", F.min), ("max", F.max))])
+    cells = (df.select(*keys, *CELL, *[F.col(b).cast("double").alias(b) for b in bands]).join(extent, list(keys))
+             .withColumn("_tr", F.explode(_tiles("row", radius))).withColumn("_tc", F.explode(_tiles("col", radius)))
+             .select(*keys, *CELL, *bands, "_tr", "_tc"))
+    names = [f"{b}_filtered" for b in bands]
+    schema = StructType([*[f for f in cells.schema.fields if f.name in (*keys, *CELL)],
+                         *[StructField(n, DoubleType()) for n in names]])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return _box_means(pdf, int(key[-2]) * TILE, int(key[-1]) * TILE, bands, radius)
+
+    out = cells.groupBy(*keys, "_tr", "_tc").applyInPandas(run, schema)
+    return out.select(*keys, *CELL, *[F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in names])
 
 
 def gamma_map(df: DataFrame, keys: Sequence[str], value: str, kernel: int, enl: float) -> DataFrame:

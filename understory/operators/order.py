@@ -45,20 +45,26 @@ def _large_groups(counts: DataFrame, keys: Sequence[str], limit: int) -> DataFra
 _PROBS = ", ".join(f"{i / SPLITS}D" for i in range(1, SPLITS))
 
 
-def _cut(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def _cut(rows: DataFrame, keys: Sequence[str], value: str, limit: int) -> DataFrame:
     """Add the value range ``_part`` of each row; split points are approximate quantiles,
-    which only decide how evenly the work is spread, never the result."""
-    cuts = rows.groupBy(*keys).agg(
-        F.expr(f"array_distinct(percentile_approx(`{value}`, array({_PROBS}), 10000))").alias("_cuts"))
+    which only decide how evenly the work is spread, never the result. A group gets about
+    one range per ``limit`` values, so moderately large groups are compared with few points."""
+    found = rows.groupBy(*keys).agg(
+        F.expr(f"percentile_approx(`{value}`, array({_PROBS}), 10000)").alias("_all_cuts"),
+        F.count(F.lit(1)).alias("_d"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(SPLITS * max(limit, 1) / 2) / F.col("_d"))).cast("int")
+    cuts = found.withColumn("_step", step).select(*keys, F.array_distinct(
+        F.filter("_all_cuts", lambda c, i: (i + 1) % F.col("_step") == 0)).alias("_cuts"))
     return (rows.join(cuts, list(keys))
             .withColumn("_part", F.size(F.filter("_cuts", lambda s: s < F.col(value))))
             .drop("_cuts"))
 
 
-def _run_in_parts(rows: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
+def _run_in_parts(rows: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str],
+                  limit: int) -> DataFrame:
     """``running_counts`` for groups too large for one task."""
     whole = W.partitionBy(*keys)
-    parts = _cut(rows, keys, value)
+    parts = _cut(rows, keys, value, limit)
     totals = parts.groupBy(*keys, "_part").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
     part_below = whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
@@ -91,7 +97,7 @@ def running_counts(counts: DataFrame, keys: Sequence[str], value: str,
         *[F.coalesce(F.sum(s).over(below), F.lit(0)).alias(f"{s}_before") for s in sums],
         *[F.sum(s).over(whole).alias(f"{s}_total") for s in sums])
 
-    cut = _run_in_parts(base.join(large, keys, "left_semi"), keys, value, sums)
+    cut = _run_in_parts(base.join(large, keys, "left_semi"), keys, value, sums, limit)
     return small.unionByName(cut)
 
 
@@ -99,13 +105,17 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
                     out: str, weight: str | None = None, limit: int = GROUP_LIMIT) -> DataFrame:
     """(keys, out ARRAY<DOUBLE>): linearly interpolated quantiles of each group."""
     df, group = null_safe_keys(df, keys)
-    counts = value_counts(df.withColumn("_v", F.col(value).cast("double")), group, "_v", weight)
-    large = _large_groups(counts, group, limit)
+    extra = [] if weight is None else [weight]
+    rows = df.select(*group, F.col(value).cast("double").alias("_v"), *extra).where(F.col("_v").isNotNull())
+    large = (rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
+             .where(F.col("_rows") > limit).select(*group))
     wanted = F.array(*[F.lit(float(p)) for p in probs])
-    small = (counts.join(large, group, "left_anti").groupBy(*group)
-             .agg(F.percentile("_v", wanted, F.col("n")).alias(out)))
+    frequency = F.lit(1) if weight is None else F.col(weight)
+    small = (rows.join(large, group, "left_anti").groupBy(*group)
+             .agg(F.percentile("_v", wanted, frequency).alias(out)))
 
-    placed = _run_in_parts(counts.join(large, group, "left_semi"), group, "_v", ["n"])
+    counts = value_counts(rows.join(large, group, "left_semi"), group, "_v", weight)
+    placed = _run_in_parts(counts, group, "_v", ["n"], limit)
     target = placed.select(
         *group, "_v", "n", "n_before",
         F.posexplode(F.transform(wanted, lambda p: p * (F.col("n_total") - 1))).alias("_i", "_pos"))
@@ -113,7 +123,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     def holds(rank: Column) -> Column:
         return (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
 
-    picked = target.groupBy(*group, "_i").agg(
+    held = target.where(holds(F.floor("_pos")) | holds(F.ceil("_pos")))
+    picked = held.groupBy(*group, "_i").agg(
         F.max("_pos").alias("_pos"),
         F.max(F.when(holds(F.floor("_pos")), F.col("_v"))).alias("_lo"),
         F.max(F.when(holds(F.ceil("_pos")), F.col("_v"))).alias("_hi"))
@@ -134,17 +145,21 @@ def exact_medians(df: DataFrame, keys: Sequence[str], values: Sequence[str],
                   limit: int = GROUP_LIMIT) -> DataFrame:
     """Median of several columns per group, as one row per group with the same names.
 
-    The columns are put under each other, so one pass over the table serves them all.
+    Groups within the limit take one aggregation for all columns. Larger groups have their
+    columns put under each other and go through ``exact_quantiles``.
     """
-    long = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(v).alias("_name"), F.col(v).cast("double").alias("_value")) for v in values
-    ])).alias("_kv")).select(*keys, "_kv._name", "_kv._value")
-    med = exact_median(long, [*keys, "_name"], "_value", "_median", limit)
-    group = list(keys) or [_ALL]
-    med = med if keys else med.withColumn(_ALL, F.lit(0))
-    out = med.groupBy(*group).agg(*[
+    df, group = null_safe_keys(df, keys)
+    rows = df.select(*group, *[F.col(v).cast("double").alias(v) for v in values])
+    large = group_sizes(rows, group).where(F.col("n_group") > limit).select(*group)
+    small = rows.join(large, group, "left_anti").groupBy(*group).agg(
+        *[F.percentile(v, 0.5).alias(v) for v in values])
+
+    entries = F.array(*[F.struct(F.lit(v).alias("_name"), F.col(v).alias("_value")) for v in values])
+    long = (rows.join(large, group, "left_semi").select(*group, F.explode(entries).alias("_kv"))
+            .select(*group, "_kv._name", "_kv._value"))
+    cut = exact_median(long, [*group, "_name"], "_value", "_median", limit).groupBy(*group).agg(*[
         F.max(F.when(F.col("_name") == v, F.col("_median"))).alias(v) for v in values])
-    return out.select(*keys, *values)
+    return small.unionByName(cut).select(*keys, *values)
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "avg_rank",
