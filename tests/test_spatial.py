@@ -110,3 +110,50 @@ def test_area_of_interest(spark, shape):
 def test_unsupported_areas_fail(spark, shape):
     with pytest.raises(Exception, match="unsupported area"):
         scans.read_aoi(spark, write_text(spark, json.dumps(shape))).collect()
+
+
+def test_quality_split_keeps_class_shares(spark):
+    from understory.operators.learn import quality_split
+
+    df = spark.range(1000).select("id", (F.col("id") % 10 == 0).cast("int").alias("good")).withColumn("hk", sample_hash(["id"]))
+    train, test = quality_split(df, "good", "hk", ["id"], 0.7)
+    sizes = {r.good: r["count"] for r in train.groupBy("good").count().collect()}
+    assert sizes == {0: 630, 1: 70}
+    assert train.join(test, "id").count() == 0 and test.count() == 300
+
+
+def test_forest_learns_and_predicts_only_whole_rows(spark):
+    from understory.operators import learn
+
+    df = spark.range(400).select((F.col("id") % 40).cast("double").alias("a"), ((F.col("id") * 7) % 11).cast("double").alias("b"))
+    df = df.withColumn("y", F.col("a") * 2 + 1)
+    model = learn.fit_forest(df, ["a", "b"], "y", trees=10, depth=6)
+    gaps = df.withColumn("b", F.when(F.col("b") != 3, F.col("b")))
+    out = learn.predict(model, gaps, ["a", "b"], ["a", "b", "y"])
+    assert out.where(F.col("b").isNull() & F.col("pred").isNotNull()).count() == 0
+    assert out.where(F.col("b").isNotNull() & (F.abs(F.col("pred") - F.col("y")) > 25)).count() == 0
+    with pytest.raises(ValueError):
+        learn.fit_forest(df.limit(5), ["a", "b"], "y")
+
+
+def test_cached_table_is_built_once(spark):
+    import uuid
+
+    from understory.sources.sinks import materialized
+
+    built, params = [], {"id": uuid.uuid4().hex}
+
+    def build():
+        built.append(1)
+        return spark.range(7)
+
+    assert [materialized(spark, "t", params, build).count() for _ in range(2)] == [7, 7] and len(built) == 1
+
+
+def test_point_tables_need_two_heights_and_a_matching_name(spark, tmp_path):
+    for name, other in (("dchm_04hf3_gedi_reference", "5.0"), ("dchm_05LE4_gedi_reference", ""), ("dchm_09gd4_other", "5.0")):
+        (tmp_path / f"{name}.csv").write_text(f"id,rh,reference_height\n1,3.0,{other}\n")
+    rows = scans.read_point_tables(spark, str(tmp_path), ["*gedi*reference*.csv", "*gedi*.csv"],
+                                   "id int, rh double, reference_height double", ["rh", "reference_height"]).collect()
+    assert [(r.source_file, r.region_code, r.region_name) for r in rows] == [
+        ("dchm_04hf3_gedi_reference.csv", "04hf3", "Kochi")]

@@ -52,10 +52,10 @@ def filled_grid(grid: DataFrame, preds: DataFrame, keys: Sequence[str], value: s
 
 
 def write_patches(df: DataFrame, patch: str = "patch_id", label: str = "patches") -> str:
-    """One folder per patch. Rows are grouped by patch and a row hash, so a patch that holds
-    most rows is written by several tasks while small ones still give few files."""
+    """One folder per patch. Rebalancing by patch lets adaptive execution merge small patches
+    into one task and cut a patch that holds most rows over several."""
     path = new_path(df.sparkSession, label)
-    df.repartition(F.col(patch), F.pmod(F.xxhash64("row"), F.lit(4))).write.partitionBy(patch).parquet(path)
+    df.hint("rebalance", patch).write.partitionBy(patch).parquet(path)
     return path
 
 
