@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from understory.llm import bpe, chat, simhash, token_files
+from understory.llm import bpe, chat, langid, leaks, pii, quality, simhash, token_files, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,3 +87,75 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op5_personal_data")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(table(spark, folder, "documents"))
+    counts = [pii.counted(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.written_out(F.col("base")), 256).alias("base_sha256"),
+                        pii.written_out(F.col("spans")).alias("spans"))
+
+
+@query("op6_exact_top_k", """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, max(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])))::BIGINT AS score
+  FROM whole q JOIN whole c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0 GROUP BY ALL)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+""")
+def exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return topk.top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors)
+
+
+@query("op7_quality_classifier")
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held = langid.held_out(F.col("doc_id"), 5, 0)
+    labels = table(spark, folder, "labels").filter(~held)
+    found = quality.scores(docs, quality.train(docs, labels))
+    return found.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= quality.CUT, 1).otherwise(0).alias("predicted"))
+
+
+@query("op8_benchmark_leaks")
+def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+#: The contract's rules, and the hosts on the block list.
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
+         ("com", "/de/", "block")]
+BLOCKED = ["ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net",
+           "free-bets.example.net", "spam-farm.example.org"]
+
+
+@query("op9_url_filter", f"""
+WITH cut AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS place FROM pages),
+parts AS (SELECT page_id, CASE WHEN place > 0 THEN substr(url, place + 3) ELSE '' END AS rest FROM cut),
+hosts AS (SELECT page_id, regexp_extract(rest, '^([^/?#]*)', 1) AS h, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM parts),
+judged AS (
+  SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM hosts),
+rules(h, p, verdict) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)}),
+hits AS (
+  SELECT page_id, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS verdict
+  FROM judged j JOIN rules r ON (j.host = r.h OR ends_with(j.host, '.' || r.h)) AND starts_with(j.path, r.p) GROUP BY page_id),
+listed(k) AS (VALUES {", ".join(f"('{h}')" for h in BLOCKED)})
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN EXISTS (
+    SELECT 1 FROM listed WHERE host = k OR ends_with(host, '.' || k)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged LEFT JOIN hits USING (page_id)
+""")
+def url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    blocked = spark.createDataFrame([(h,) for h in BLOCKED], "key string")
+    return urls.verdicts(table(spark, folder, "pages"), RULES, blocked)
+
+
+@query("op10_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held = langid.held_out(F.col("doc_id"), 4, 2)
+    found = langid.identify(docs, langid.prototypes(docs.filter(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
