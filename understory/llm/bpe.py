@@ -1,8 +1,8 @@
 """Byte-level BPE in DuckDB: recursive queries contract pairs, ordered aggregation decodes.
 
 Every task splits its texts by the vocabulary's pattern and hands the distinct words that it has not met yet to an
-in-process DuckDB. There each byte of a word is a row (word, position, token); a recursive query joins neighbouring
-tokens with the merge table and contracts each word's leftmost pair of least rank until no pair has a rank.
+in-process DuckDB. In each round of a recursive query every token position of a word is a row, which joins the merge table
+by the token and its neighbour; each word's leftmost pair of least rank is contracted, until no pair has a rank.
 """
 
 from __future__ import annotations
@@ -23,17 +23,14 @@ IDS_AT_ONCE = 1_000_000
 
 ENCODE = """
 WITH RECURSIVE step AS (
-  SELECT w, p, t, 0 AS n FROM start
+  SELECT w, ids, 0 AS n FROM start
   UNION ALL
-  SELECT w, p, CASE WHEN p = best % 1048576 THEN best // 1048576 ELSE t END AS t, n + 1 AS n
-  FROM (SELECT w, p, n, t, before, min(rank * 1048576 + p) OVER (PARTITION BY w) AS best
-        FROM (SELECT w, p, n, t, lag(p) OVER word AS before, (t::BIGINT << 32) | lead(t) OVER word AS pair
-              FROM step WINDOW word AS (PARTITION BY w ORDER BY p)) AS around
-        LEFT JOIN merges USING (pair))
-  WHERE best IS NOT NULL AND before IS DISTINCT FROM best % 1048576)
-SELECT w, list(t ORDER BY p) AS ids
-FROM (SELECT w, p, t, n, max(n) OVER (PARTITION BY w) AS last FROM step)
-WHERE n = last GROUP BY w ORDER BY w
+  SELECT s.w, list_concat(s.ids[:b.best % 1048576 - 1], [b.best // 1048576], s.ids[b.best % 1048576 + 2:]), s.n + 1
+  FROM step AS s JOIN (
+    SELECT w, min(rank * 1048576 + i) AS best
+    FROM (SELECT w, (unnest(ids[:-2]) << 32) | unnest(ids[2:]) AS pair, unnest(range(1, len(ids))) AS i FROM step)
+    JOIN merges USING (pair) GROUP BY w) AS b USING (w))
+SELECT w, arg_max(ids, n) AS ids FROM step GROUP BY w ORDER BY w
 """
 #: The same for long words: all occurrences of the least pair at once, from left to right without overlap, where no pair
 #: that the new token can form has a lower rank (so one at a time would contract just these); else the leftmost alone.
@@ -58,9 +55,7 @@ FROM (SELECT w, p, t, n, max(n) OVER (PARTITION BY w) AS last FROM step)
 WHERE n = last GROUP BY w ORDER BY w
 """
 DECODE = """
-SELECT d, unhex(string_agg(h, '' ORDER BY p)) AS bytes
-FROM (SELECT d, unnest(ids) AS t, unnest(range(len(ids))) AS p FROM tokens)
-JOIN vocabulary USING (t) GROUP BY d ORDER BY d
+SELECT d, unhex(string_agg(h, '' ORDER BY p)) AS bytes FROM tokens JOIN vocabulary USING (t) GROUP BY d ORDER BY d
 """
 
 
@@ -104,10 +99,14 @@ class Bpe:
 
     def _contract(self, words: list[bytes]) -> list[bytes]:
         size = np.array([len(w) for w in words], dtype=np.int64)
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         token = self.single[np.frombuffer(b"".join(words), np.uint8)]
-        self.db.register("start", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), size),
-                                            "p": place.astype(np.int32), "t": token.astype(np.int32)}))
+        if len(words[-1]) > LONG:
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            start = {"w": np.repeat(np.arange(len(words), dtype=np.int32), size), "p": place.astype(np.int32), "t": token}
+        else:
+            ends = np.append(0, np.cumsum(size)).astype(np.int32)
+            start = {"w": np.arange(len(words), dtype=np.int32), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(token))}
+        self.db.register("start", pa.table(start))
         ids = self.db.sql(ENCODE_LONG if len(words[-1]) > LONG else ENCODE).to_arrow_table().column("ids").combine_chunks()
         self.db.unregister("start")
         if isinstance(ids, pa.ChunkedArray):
@@ -118,14 +117,13 @@ class Bpe:
     def learn(self, words: set[str]) -> None:
         """A word that is one token is that token; all others, short ones first, go through the recursive query."""
         new = []
-        for word in words:
-            if word not in self.known:
-                raw = word.encode()
-                rank = self.ranks.get(raw)
-                if rank is None:
-                    new.append((word, raw))
-                else:
-                    self.known[word] = rank.to_bytes(4, "little")
+        for word in words.difference(self.known):
+            raw = word.encode()
+            rank = self.ranks.get(raw)
+            if rank is None:
+                new.append((word, raw))
+            else:
+                self.known[word] = rank.to_bytes(4, "little")
         new.sort(key=lambda x: len(x[1]))
         k = 0
         while k < len(new):
@@ -154,9 +152,9 @@ class Bpe:
             while j < len(cuts) and (j == k or size + len(cuts[j][1]) <= IDS_AT_ONCE):
                 size += len(cuts[j][1])
                 j += 1
-            ends = np.cumsum([0, *(len(c) for _, c in cuts[k:j])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([c for _, c in cuts[k:j]]).astype(np.int32)))
-            self.db.register("tokens", pa.table({"d": pa.array(np.arange(k, j)), "ids": ids}))
+            flat = np.concatenate([c for _, c in cuts[k:j]]).astype(np.int32)
+            piece = np.repeat(np.arange(k, j, dtype=np.int32), [len(c) for _, c in cuts[k:j]])
+            self.db.register("tokens", pa.table({"d": piece, "p": np.arange(len(flat), dtype=np.int32), "t": flat}))
             for d, raw in self.db.sql(DECODE).fetchall():
                 out[cuts[d][0]] += raw
             self.db.unregister("tokens")
