@@ -1,6 +1,6 @@
 """Byte-level BPE in DuckDB: recursive queries contract pairs, ordered aggregation decodes.
 
-Every task splits its texts by the vocabulary's pattern and hands the distinct words that it has not met yet to an
+Every worker splits its texts by the vocabulary's pattern and hands the distinct words that it has not met yet to an
 in-process DuckDB. In each round of a recursive query every token position of a word is a row, which joins the merge table
 by the token and its neighbour; each word's leftmost pair of least rank is contracted, until no pair has a rank.
 """
@@ -8,14 +8,17 @@ by the token and its neighbour; each word's leftmost pair of least rank is contr
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Words whose ids a task remembers at once, characters that it takes up at a time, words and ids for one DuckDB query.
-WORDS = 400_000
+from understory.llm.worker import kept
+
+#: Words whose ids a worker remembers at once, characters that it takes up at a time, words and ids for one DuckDB query.
+WORDS = 800_000
 CHARS = 2_000_000
 WORDS_AT_ONCE = 40_000
 LONG = 64
@@ -65,7 +68,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Bpe:
-    """One task's DuckDB with the merge table and the vocabulary of ``ranks``."""
+    """One worker's DuckDB with the merge table and the vocabulary of ``ranks``."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import duckdb
@@ -186,11 +189,12 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _run(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, decoded: bool) -> DataFrame:
     ranks = read_ranks(ranks_path)
+    version = zlib.crc32(repr(sorted(ranks.items())).encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = None
         for batch in _groups(batches, lambda v: len(v.as_buffer() or b"")):
-            bpe = bpe or Bpe(ranks, pattern)
+            bpe = bpe or kept(("bpe", version, pattern), lambda: Bpe(ranks, pattern))
             ids = bpe.encode(batch.column(1).to_pylist())
             cols, names = [batch.column(0), _lists(ids)], ["doc_id", "ids"]
             if decoded:
@@ -220,11 +224,12 @@ def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     """``(doc_id, decoded)``: the bytes of every list of ids. NULL and empty lists give no bytes; ids outside the
     vocabulary have none and are passed over."""
     ranks = read_ranks(ranks_path)
+    version = zlib.crc32(repr(sorted(ranks.items())).encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = None
         for batch in _groups(batches, lambda v: len(v.values) if v.is_valid else 0):
-            bpe = bpe or Bpe(ranks, "")
+            bpe = bpe or kept(("bpe", version, ""), lambda: Bpe(ranks, ""))
             rows = [np.array(r or [], dtype=np.int64) for r in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.decode(rows), pa.binary())], ["doc_id", "decoded"])
 

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from understory.llm.worker import kept
+
 DIMENSIONS = 512
 NGRAM = 3
 #: Letter classes: 0 is anything but a letter, 1 to 26 are a to z, all other letters share the rest by code point.
@@ -93,7 +95,7 @@ def prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, sums = Letters(), {}
+        letters, sums = kept(("letters",), Letters), {}
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -132,7 +134,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     names, matrix = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = Letters()
+        letters = kept(("letters",), Letters)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             found, scores = [], []

@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from understory.llm.worker import kept
 from understory.session import new_path, written
 
 END_ID = 0
-#: Words whose ids a task remembers at once, and characters that it takes up at a time.
-WORDS = 400_000
+#: Words whose ids a worker remembers at once, and characters that it takes up at a time.
+WORDS = 800_000
 CHARS = 2_000_000
 
 
@@ -30,7 +31,7 @@ class WordIds(dict):
         self.kind = kind
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
+        new = list(words.difference(self))
         for k in range(0, len(new), 20_000):
             part = new[k:k + 20_000]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
@@ -78,7 +79,8 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, pattern: str, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        split, known = regex.compile(pattern).findall, WordIds(vocabulary, kind)
+        split = regex.compile(pattern).findall
+        known = kept(("word ids", vocabulary, kind), lambda: WordIds(vocabulary, kind))
         end = np.array([end_id], dtype=kind).tobytes()
         part, task = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         store, path = _opened(target)
