@@ -21,7 +21,9 @@ OVERSAMPLE = 16
 #: Words of a document window and of a benchmark passage, and how far the next one starts.
 WINDOW, STRIDE = 32, 16
 PASSAGE = 48
-COSINE = 0.3
+COSINE = 0.4
+#: The least of (1 + log c) ** 2 / c for c up to WINDOW.
+TF_LOSS = 0.62
 #: A common subsequence of this share of the item's words is a leak; from the lower share on, if the answer is there too.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.7, 0.5, 0.8
 #: Items compared in one pass over the documents; larger benchmarks take several passes.
@@ -213,6 +215,9 @@ def _pass(docs: DataFrame, items: DataFrame, idf: np.ndarray, basis: np.ndarray,
     latent = np.array(rows, np.float32).reshape(len(rows), basis.shape[1])
     latent = latent / np.maximum(np.sqrt((latent ** 2).sum(axis=1)), 1e-12)[:, None]
     owner = np.array(owner, np.int64)
+    most = np.zeros(FEATURES)
+    for k in range(0, len(latent), 256):
+        most = np.maximum(most, (basis @ latent[k:k + 256].T).max(axis=1, initial=0))
     held = np.flatnonzero((basis ** 2).sum(axis=1) > 1e-12)
     slim = basis[held]
     kind_names = ["doc_id", "item_id", "at", "cosine", "lcs", "answer"]
@@ -221,17 +226,16 @@ def _pass(docs: DataFrame, items: DataFrame, idf: np.ndarray, basis: np.ndarray,
         hashed = Hashed()
         row_of = np.full(FEATURES, -1, np.int64)
         row_of[held] = np.arange(len(held))
-        mass = idf.astype(np.float64) ** 2
+        mass, gain = idf.astype(np.float64) ** 2, idf * most
 
         def judge(words: list[bytes]) -> list[tuple[int, int, float, float, float]]:
             ids = hashed.of(words)
-            shared = np.where(row_of[ids] >= 0, mass[ids], 0)
             edges = np.arange(0, len(ids), STRIDE)
-            part, whole = np.add.reduceat(shared, edges), np.add.reduceat(mass[ids], edges)
+            part, whole = np.add.reduceat(gain[ids], edges), np.add.reduceat(mass[ids], edges)
             part[:-1], whole[:-1] = part[:-1] + part[1:], whole[:-1] + whole[1:]
-            # Only what the basis holds can count: less of it than the cosine's square cannot reach the cosine, up to
-            # repeated words, for which the limit is halved.
-            near = edges[part >= 0.5 * COSINE ** 2 * whole]
+            # An upper bound of the cosine: c equal words add at most c times one word's gain, and at least TF_LOSS times c
+            # times its mass to the squared length, as (1 + log c) ** 2 >= TF_LOSS * c up to a window's words.
+            near = edges[part >= COSINE * np.sqrt(TF_LOSS * whole)]
             if not len(near):
                 return []
             made = np.zeros((len(near), slim.shape[1]), np.float32)
