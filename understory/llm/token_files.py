@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,28 +15,59 @@ from understory.llm.worker import kept
 from understory.session import new_path, written
 
 END_ID = 0
-#: Words whose ids a worker remembers at once, and characters that it takes up at a time.
-WORDS = 800_000
+#: Words and chunks whose ids a worker remembers at once (of either kind), and characters that it takes up at a time.
+WORDS = 700_000
 CHARS = 2_000_000
 
 
-class WordIds(dict):
-    """Ids (as little-endian bytes) of words by the tokenizers library; no merge of the vocabulary crosses a word."""
+class Ids:
+    """Ids (as little-endian bytes) of whole texts by the tokenizers library, which encodes every distinct word once.
 
-    def __init__(self, vocabulary: str, kind: str):
+    No merge of the vocabulary crosses a word of its pattern, and texts are first cut before their blanks: a cut there
+    is also a cut of the pattern unless the blank stands within, or at the end of a text after, other white space, so
+    texts with such blanks are split by the pattern as a whole.
+    """
+
+    def __init__(self, vocabulary: str, pattern: str, kind: str):
+        import os
+
+        import regex
+
+        # The library's own threads would take cores from other tasks; it reads this when it first encodes a batch.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.kind = kind
+        self.split = regex.compile(pattern).findall
+        self.unsafe = regex.compile(r"\s (?:\s|$)").search
+        self.code = {"<u2": "H", "<u4": "I"}[kind]
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
-        new = list(words.difference(self))
+        if len(self.words) > WORDS:
+            self.words.clear()
+        new = list(words.difference(self.words))
         for k in range(0, len(new), 20_000):
             part = new[k:k + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self[word] = np.array(found.ids, dtype=self.kind).tobytes()
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.words |= zip(part, [array(self.code, e.ids).tobytes() for e in found])
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text: chunks are looked up, chunks not met yet are put together from their words."""
+        if len(self.chunks) > WORDS:
+            self.chunks.clear()
+        cut = [None if self.unsafe(t) else t.split(" ") for t in texts]
+        heads = [self.split(t) if c is None else self.split(c[0]) for t, c in zip(texts, cut)]
+        tails = [c[1:] if c else [] for c in cut]
+        new = list(set().union(*tails).difference(self.chunks))
+        split = self.split
+        spelt = [split(" " + c) for c in new]
+        self.learn(set().union(*spelt, *heads))
+        words, chunks = self.words, self.chunks
+        chunks |= zip(new, [b"".join([words[w] for w in ws]) for ws in spelt])
+        return [b"".join([words[w] for w in head]) + b"".join(map(chunks.__getitem__, tail)) for head, tail in zip(heads, tails)]
 
 
 def _opened(uri: str):
@@ -77,10 +109,7 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, pattern: str, id_co
     target = folder or new_path(spark, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        split = regex.compile(pattern).findall
-        known = kept(("word ids", vocabulary, kind), lambda: WordIds(vocabulary, kind))
+        encoder = kept(("word ids", vocabulary, pattern, kind), lambda: Ids(vocabulary, pattern, kind))
         end = np.array([end_id], dtype=kind).tobytes()
         part, task = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         store, path = _opened(target)
@@ -107,11 +136,7 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, pattern: str, id_co
                 idx_file = store.open_output_stream(f"{name}.idx.{task}", compression=None)
                 idx_file.write(np.zeros(1, "<u8").tobytes())
                 started = True
-            if len(known) > WORDS:
-                known.clear()
-            words = [split(t or "") for t in texts]
-            known.learn(set().union(*words))
-            rows = [b"".join([known[w] for w in ws]) + end for ws in words]
+            rows = [found + end for found in encoder.of([t or "" for t in texts])]
             counts = np.array([len(r) // np.dtype(kind).itemsize for r in rows], dtype=np.int64)
             bin_file.write(b"".join(rows))
             idx_file.write((at + np.cumsum(counts)).astype("<u8").tobytes())
