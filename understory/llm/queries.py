@@ -75,7 +75,7 @@ def preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_token_files")
 def token_files_checked(spark: SparkSession, folder: str) -> DataFrame:
     index = token_files.write_token_files(
-        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.checksums(index)
 
 

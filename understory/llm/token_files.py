@@ -15,23 +15,21 @@ from understory.llm.worker import kept
 from understory.session import new_path, written
 
 END_ID = 0
-#: Words and chunks whose ids a worker remembers at once (of either kind), and characters that it takes up at a time.
-WORDS = 700_000
+#: Chunks whose ids a worker remembers at once, and characters that it takes up at a time.
+CHUNKS = 900_000
 CHARS = 2_000_000
 
 
 class Ids:
-    """Ids (as little-endian bytes) of whole texts by the tokenizers library, which encodes every distinct word once.
+    """Ids (as little-endian bytes) of whole texts by the tokenizers library, which encodes every distinct chunk once.
 
-    No merge of the vocabulary crosses a word of its pattern, and texts are first cut before their blanks: a cut there
-    is also a cut of the pattern unless the blank stands within, or at the end of a text after, other white space, so
-    texts with such blanks are split by the pattern as a whole.
+    Texts are cut before their blanks. The byte-level pattern cuts there too, unless the blank stands within, or at the
+    end of a text after, other white space; texts with such blanks are encoded in one piece.
     """
 
-    def __init__(self, vocabulary: str, pattern: str, kind: str):
+    def __init__(self, vocabulary: str, kind: str):
         import os
-
-        import regex
+        import re
 
         # The library's own threads would take cores from other tasks; it reads this when it first encodes a batch.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -39,35 +37,25 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(pattern).findall
-        self.unsafe = regex.compile(r"\s (?:\s|$)").search
+        self.unsafe = re.compile(r"\s (?:\s|\Z)").search
         self.code = {"<u2": "H", "<u4": "I"}[kind]
-        self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) > WORDS:
-            self.words.clear()
-        new = list(words.difference(self.words))
-        for k in range(0, len(new), 20_000):
-            part = new[k:k + 20_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.words |= zip(part, [array(self.code, e.ids).tobytes() for e in found])
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text: chunks are looked up, chunks not met yet are put together from their words."""
-        if len(self.chunks) > WORDS:
+        """The ids of each text: its first chunk, or the whole of an unsafe text, and then its other chunks."""
+        if len(self.chunks) > CHUNKS:
             self.chunks.clear()
-        cut = [None if self.unsafe(t) else t.split(" ") for t in texts]
-        heads = [self.split(t) if c is None else self.split(c[0]) for t, c in zip(texts, cut)]
-        tails = [c[1:] if c else [] for c in cut]
+        cut = [[t] if self.unsafe(t) else t.split(" ") for t in texts]
+        heads = self.encoded([c[0] for c in cut])
+        tails = [c[1:] for c in cut]
         new = list(set().union(*tails).difference(self.chunks))
-        split = self.split
-        spelt = [split(" " + c) for c in new]
-        self.learn(set().union(*spelt, *heads))
-        words, chunks = self.words, self.chunks
-        chunks |= zip(new, [b"".join([words[w] for w in ws]) for ws in spelt])
-        return [b"".join([words[w] for w in head]) + b"".join(map(chunks.__getitem__, tail)) for head, tail in zip(heads, tails)]
+        for k in range(0, len(new), 20_000):
+            part = new[k:k + 20_000]
+            self.chunks |= zip(part, self.encoded([" " + c for c in part]))
+        return [head + b"".join(map(self.chunks.__getitem__, tail)) for head, tail in zip(heads, tails)]
 
 
 def _opened(uri: str):
@@ -90,12 +78,12 @@ def mapped(uri: str, kind: str) -> Callable[[int, int], np.ndarray]:
     return lambda start, end: np.frombuffer(file.read_at((end - start) * size, start * size), dtype=kind)
 
 
-def write_token_files(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+def write_token_files(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text",
                       end_id: int = END_ID, folder: str | None = None) -> DataFrame:
     """Encode whole texts and write ``part-N.bin`` (ids) and ``part-N.idx`` (64-bit offsets) in ascending id order.
 
-    Returns the index, a written table: ``doc_id, part, place, n_tokens, uri``. Texts are split by the vocabulary's own
-    pattern and every word is encoded by the tokenizers library, without special tokens; ``end_id`` ends each document.
+    Returns the index, a written table: ``doc_id, part, place, n_tokens, uri, kind``. The vocabulary is a byte-level BPE of the
+    tokenizers library; texts are encoded without special tokens, and ``end_id`` ends each document.
     NULL and empty texts are just ``end_id``. Rows without an id come first; rows with equal ids are ordered by hash and
     text. An empty table gives no files. Every task writes its own files under another name and then renames them, so
     a task that runs again changes nothing. Ranges are dealt by (id, text hash), so one repeated id spreads as well.
@@ -109,7 +97,7 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, pattern: str, id_co
     target = folder or new_path(spark, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept(("word ids", vocabulary, pattern, kind), lambda: Ids(vocabulary, pattern, kind))
+        encoder = kept(("token ids", vocabulary, kind), lambda: Ids(vocabulary, kind))
         end = np.array([end_id], dtype=kind).tobytes()
         part, task = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         store, path = _opened(target)
