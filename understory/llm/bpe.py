@@ -15,14 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from understory.llm.worker import kept
+from understory.llm.worker import Remembered, kept, small
 
-#: Words whose ids a worker remembers at once, characters that it takes up at a time, words and ids for one DuckDB query.
-WORDS = 800_000
-CHARS = 2_000_000
-WORDS_AT_ONCE = 40_000
+#: Words whose ids a worker remembers in either of two generations; words and ids for one DuckDB query.
+WORDS = 300_000
+WORDS_AT_ONCE = 30_000
 LONG = 64
-IDS_AT_ONCE = 1_000_000
+IDS_AT_ONCE = 500_000
 
 ENCODE = """
 WITH RECURSIVE step AS (
@@ -76,8 +75,8 @@ class Bpe:
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
-        self.known: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB"})
+        self.known = Remembered(WORDS)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
         left, right, rank = [], [], []
         for token, r in ranks.items():
             for k in range(1, len(token)):
@@ -117,16 +116,16 @@ class Bpe:
         flat, ends = ids.values.to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy() * 4
         return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, unknown: set[str]) -> None:
         """A word that is one token is that token; all others, short ones first, go through the recursive query."""
-        new = []
-        for word in words.difference(self.known):
+        known, new = self.known.young, []
+        for word in unknown:
             raw = word.encode()
             rank = self.ranks.get(raw)
             if rank is None:
                 new.append((word, raw))
             else:
-                self.known[word] = rank.to_bytes(4, "little")
+                known[word] = rank.to_bytes(4, "little")
         new.sort(key=lambda x: len(x[1]))
         k = 0
         while k < len(new):
@@ -134,15 +133,13 @@ class Bpe:
             while j < len(new) and j - k < WORDS_AT_ONCE and size < 16 * WORDS_AT_ONCE and (len(new[j][1]) > LONG) == long:
                 size += len(new[j][1])
                 j += 1
-            self.known |= zip((w for w, _ in new[k:j]), self._contract([r for _, r in new[k:j]]))
+            known |= zip((w for w, _ in new[k:j]), self._contract([r for _, r in new[k:j]]))
             k = j
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > WORDS:
-            self.known.clear()
         words = [self.split(t) for t in texts]
-        self.learn(set().union(*words))
-        known = self.known
+        self.learn(self.known.missing(set().union(*words)))
+        known = self.known.young
         return [np.frombuffer(b"".join([known[w] for w in ws]), "<u4") for ws in words]
 
     def decode(self, rows: list[np.ndarray]) -> list[bytes]:
@@ -165,18 +162,6 @@ class Bpe:
         return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], size) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, k = [size(v) for v in batch.column(1)], 0
-        while k < len(sizes):
-            total, j = 0, k
-            while j < len(sizes) and (j == k or total < CHARS):
-                total += sizes[j]
-                j += 1
-            yield batch.slice(k, j - k)
-            k = j
-
-
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     flat = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
@@ -193,7 +178,7 @@ def _run(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = None
-        for batch in _groups(batches, lambda v: len(v.as_buffer() or b"")):
+        for batch in small(batches, 1):
             bpe = bpe or kept(("bpe", version, pattern), lambda: Bpe(ranks, pattern))
             ids = bpe.encode(batch.column(1).to_pylist())
             cols, names = [batch.column(0), _lists(ids)], ["doc_id", "ids"]
@@ -228,7 +213,7 @@ def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = None
-        for batch in _groups(batches, lambda v: len(v.values) if v.is_valid else 0):
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             bpe = bpe or kept(("bpe", version, ""), lambda: Bpe(ranks, ""))
             rows = [np.array(r or [], dtype=np.int64) for r in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.decode(rows), pa.binary())], ["doc_id", "decoded"])

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from understory.llm.worker import kept
+from understory.llm.worker import kept, small
 
 DIMENSIONS = 512
 NGRAM = 3
@@ -101,7 +101,7 @@ def prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
             return pa.RecordBatch.from_arrays(
                 [pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "v"])
 
-        for batch in batches:
+        for batch in small(batches, 1):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for k, j in groups(texts):
                 whole = np.rint(letters.vectors(texts[k:j]) * STEP).astype(np.int64)
@@ -135,7 +135,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = kept(("letters",), Letters)
-        for batch in batches:
+        for batch in small(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             found, scores = [], []
             for k, j in groups(texts):

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from understory.llm.worker import small
+
 FEATURES = 1 << 16
 RANK = 192
 OVERSAMPLE = 16
@@ -28,7 +30,7 @@ TF_LOSS = 0.62
 LCS, LCS_WITH_ANSWER, ANSWER = 0.7, 0.5, 0.8
 #: Items compared in one pass over the documents; larger benchmarks take several passes.
 ITEMS = 20_000
-WORDS = 500_000
+WORDS = 300_000
 #: All but ASCII letters, digits and what lies beyond ASCII parts words.
 GAPS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -56,7 +58,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, counts, n = Hashed(), np.zeros(FEATURES, np.int64), 0
         seen = np.zeros(FEATURES, bool)
-        for batch in batches:
+        for batch in small(batches, 0):
             for text in batch.column(0).to_pylist():
                 ids = hashed.of(words_of(text))
                 seen[ids] = True
@@ -261,7 +263,7 @@ def _pass(docs: DataFrame, items: DataFrame, idf: np.ndarray, basis: np.ndarray,
                     best[k] = (k, s, float(cosine[i, p]), lcs, said)
             return list(best.values())
 
-        for batch in batches:
+        for batch in small(batches, 1):
             found = []
             for doc_id, text in zip(batch.column(0), batch.column(1).to_pylist()):
                 words = words_of(text)

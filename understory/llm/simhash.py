@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from understory.llm.graph import components
+from understory.llm.worker import small
 from understory.session import written
 
 SHINGLE = 4
@@ -55,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row ``(doc_id, fp)`` for each row of ``docs``, the fingerprint as a signed long. NULL counts as an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 1):
             found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 

@@ -11,13 +11,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from understory.llm.worker import kept
+from understory.llm.worker import Remembered, kept, small
 from understory.session import new_path, written
 
 END_ID = 0
-#: Chunks whose ids a worker remembers at once, and characters that it takes up at a time.
-CHUNKS = 900_000
-CHARS = 2_000_000
+#: Chunks whose ids a worker remembers in either of two generations.
+CHUNKS = 450_000
 
 
 class Ids:
@@ -39,23 +38,22 @@ class Ids:
         self.tokenizer.encode_special_tokens = True
         self.unsafe = re.compile(r"\s (?:\s|\Z)").search
         self.code = {"<u2": "H", "<u4": "I"}[kind]
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = Remembered(CHUNKS)
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text: its first chunk, or the whole of an unsafe text, and then its other chunks."""
-        if len(self.chunks) > CHUNKS:
-            self.chunks.clear()
         cut = [[t] if self.unsafe(t) else t.split(" ") for t in texts]
         heads = self.encoded([c[0] for c in cut])
         tails = [c[1:] for c in cut]
-        new = list(set().union(*tails).difference(self.chunks))
+        new = list(self.chunks.missing(set().union(*tails)))
+        known = self.chunks.young
         for k in range(0, len(new), 20_000):
             part = new[k:k + 20_000]
-            self.chunks |= zip(part, self.encoded([" " + c for c in part]))
-        return [head + b"".join(map(self.chunks.__getitem__, tail)) for head, tail in zip(heads, tails)]
+            known |= zip(part, self.encoded([" " + c for c in part]))
+        return [head + b"".join(map(known.__getitem__, tail)) for head, tail in zip(heads, tails)]
 
 
 def _opened(uri: str):
@@ -106,19 +104,8 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_
         at, place, started = 0, 0, False
         bin_file = idx_file = None
 
-        def groups() -> Iterator[tuple[pa.Array, list[str]]]:
-            for batch in batches:
-                ids, texts = batch.column(0), batch.column(1).to_pylist()
-                k = 0
-                while k < len(texts):
-                    size, j = 0, k
-                    while j < len(texts) and (j == k or size < CHARS):
-                        size += len(texts[j] or "")
-                        j += 1
-                    yield ids.slice(k, j - k), texts[k:j]
-                    k = j
-
-        for ids, texts in groups():
+        for batch in small(batches, 1):
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
             if not started:
                 bin_file = store.open_output_stream(f"{name}.bin.{task}", compression=None)
                 idx_file = store.open_output_stream(f"{name}.idx.{task}", compression=None)

@@ -1,10 +1,17 @@
-"""State that lives as long as a Python worker, which Spark uses again for task after task."""
+"""What the Python workers share: small batches, and state that lives as long as a worker."""
 
 from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of text that a task takes up at a time; one longer text is a batch of its own.
+BATCH = 2_000_000
 
 
 def kept(key: tuple, make: Callable[[], object]) -> object:
@@ -19,3 +26,32 @@ def kept(key: tuple, make: Callable[[], object]) -> object:
     if found is None or found[0] != rest:
         found = store.__dict__[kind] = (rest, make())
     return found[1]
+
+
+def small(batches: Iterator[pa.RecordBatch], column: int, limit: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``limit`` bytes in a string column, so few texts are Python objects at once."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, k = np.cumsum(sizes, dtype=np.int64), 0
+        while k < len(ends):
+            done = ends[k - 1] if k else 0
+            j = max(k + 1, int(np.searchsorted(ends, done + limit, side="right")))
+            yield batch.slice(k, j - k)
+            k = j
+
+
+class Remembered:
+    """A map of bounded size in two generations: what the younger one lacks may come back from the older one."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Those of ``keys`` that are not known; all others are in ``young`` afterwards, where they stay until the next call."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        new = keys.difference(self.young)
+        back = new.intersection(self.old)
+        old = self.old
+        self.young |= {k: old[k] for k in back}
+        return new - back
