@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from understory.llm.worker import Remembered, kept, small
+from understory.llm.worker import Remembered, kept, small, with_texts
 
 #: Words whose ids a worker remembers in either of two generations; words and ids for one DuckDB query.
 WORDS = 300_000
@@ -69,13 +69,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Bpe:
     """One worker's DuckDB with the merge table and the vocabulary of ``ranks``."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, words: int = WORDS):
         import duckdb
         import regex
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
-        self.known = Remembered(WORDS)
+        self.known = Remembered(words)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
         left, right, rank = [], [], []
         for token, r in ranks.items():
@@ -169,17 +169,17 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return with_texts(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def _run(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, decoded: bool) -> DataFrame:
+def _run(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, decoded: bool, words: int) -> DataFrame:
     ranks = read_ranks(ranks_path)
     version = zlib.crc32(repr(sorted(ranks.items())).encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = None
         for batch in small(batches, 1):
-            bpe = bpe or kept(("bpe", version, pattern), lambda: Bpe(ranks, pattern))
+            bpe = bpe or kept(("bpe", version, pattern, words), lambda: Bpe(ranks, pattern, words))
             ids = bpe.encode(batch.column(1).to_pylist())
             cols, names = [batch.column(0), _lists(ids)], ["doc_id", "ids"]
             if decoded:
@@ -191,18 +191,18 @@ def _run(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col:
         run, f"doc_id {kind}, ids array<int>" + ", decoded binary" * decoded)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``(doc_id, ids)`` of every whole text, one row for each row of ``docs``.
 
     NULL and empty texts give an empty list, an empty table no rows; rows may repeat, ids may be NULL, and further
-    columns are not read. Special tokens are ordinary text.
+    columns are not read. Special tokens are ordinary text. ``words`` bounds a worker's memory of words.
     """
-    return _run(docs, ranks_path, pattern, id_col, text_col, False)
+    return _run(docs, ranks_path, pattern, id_col, text_col, False, words)
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``(doc_id, ids, decoded)``: like ``encode`` followed by ``decode``, in one pass over the texts."""
-    return _run(docs, ranks_path, pattern, id_col, text_col, True)
+    return _run(docs, ranks_path, pattern, id_col, text_col, True, words)
 
 
 def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

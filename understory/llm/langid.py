@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from understory.llm.worker import kept, small
+from understory.llm.worker import kept, small, with_texts
 
 DIMENSIONS = 512
 NGRAM = 3
@@ -113,7 +113,7 @@ def prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
                     sums = {}
         yield out()
 
-    known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter(
+    known = with_texts(docs).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull())
     parts = known.mapInArrow(run, "lang string, v array<long>").select("lang", F.posexplode("v").alias("i", "x"))
     sums = parts.groupBy("lang", "i").agg(F.sum(F.col("x").cast("decimal(38,0)")).cast("double").alias("x"))
@@ -149,7 +149,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                                              ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return with_texts(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, f"doc_id {kind}, lang_pred string, score double")
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from understory.llm.worker import small
+from understory.llm.worker import small, with_texts
 
 FEATURES = 1 << 16
 RANK = 192
@@ -74,7 +74,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(counts[used], n))], ["feature", "n"])
 
-    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "feature long, n long")
+    parts = with_texts(docs).select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "feature long, n long")
     got = parts.groupBy("feature").agg(F.sum("n").alias("n")).toArrow()  # one row for each feature: a fixed bound
     feature, n = got.column(0).to_numpy(), got.column(1).to_numpy()
     out = np.zeros(FEATURES, np.int64)
@@ -276,4 +276,4 @@ def _pass(docs: DataFrame, items: DataFrame, idf: np.ndarray, basis: np.ndarray,
                      pa.array([f[2] for f in found], pa.int64()), *(pa.array([f[c] for f in found], pa.float64()) for c in (3, 4, 5))],
                     kind_names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return with_texts(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from understory.llm.worker import Remembered, kept, small
+from understory.llm.worker import Remembered, kept, small, with_texts
 from understory.session import new_path, written
 
 END_ID = 0
 #: Chunks whose ids a worker remembers in either of two generations.
-CHUNKS = 450_000
+CHUNKS = 700_000
 
 
 class Ids:
@@ -125,7 +125,7 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_
                 store.move(f"{name}.{end_name}.{task}", f"{name}.{end_name}")
 
     id_kind = docs.schema[id_col].dataType.simpleString()
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    chosen = with_texts(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = chosen.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     index = ordered.mapInArrow(run, f"doc_id {id_kind}, part int, place long, n_tokens long")

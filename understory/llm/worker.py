@@ -9,11 +9,22 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
+#: Rows in an Arrow batch of texts, where the session does not say: 10,000 long texts would fill an executor.
+ARROW_ROWS = 1_000
 #: Bytes of text that a task takes up at a time; one longer text is a batch of its own.
 BATCH = 2_000_000
 
 
+def with_texts(docs: DataFrame) -> DataFrame:
+    """``docs``, whose session moves texts to Python in smaller Arrow batches from now on, unless it has a size of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if docs.sparkSession.conf.get(name, None) in (None, "10000"):
+        docs.sparkSession.conf.set(name, str(ARROW_ROWS))
+    return docs
+
+
 def kept(key: tuple, make: Callable[[], object]) -> object:
     """The object made for ``key`` in this process; it must be a bounded cache, for it stays until the worker ends.
 
