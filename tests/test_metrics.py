@@ -87,3 +87,19 @@ def test_filter_search_retention_and_direction(spark):
         keep = [x for x in rows if (x[0] >= r.threshold if r.direction == "above" else x[0] <= r.threshold)]
         assert r.n_samples == len(keep) and 0 <= r.retention_rate <= 1
         assert r.mean_height_diff == pytest.approx(sum(x[1] for x in keep) / len(keep))
+
+
+def test_rows_that_are_not_finite_and_groups_without_name(spark):
+    from understory.operators.cleaning import fill_group_median
+    from understory.operators.order import number_by_hash
+    from understory.operators.sampling import standardize
+
+    nan = float("nan")
+    df = spark.createDataFrame([(None, 1.0, 1.0), (None, 3.0, 2.0), ("a", nan, 2.0), ("a", 5.0, float("inf")), ("a", 4.0, 4.0)],
+                               "g string, x double, y double")
+    assert M.regression_metrics(df, "x", "y").first()["n"] == 3
+    assert standardize(df.where("x = x"), ["x"], "g").count() == 5
+    filled = {tuple(r) for r in fill_group_median(df, ["g"], ["x", "y"]).select("g", "x", "y").collect()}
+    assert ("a", 4.5, 2.0) in filled and ("a", 5.0, 3.0) in filled and (None, 1.0, 1.0) in filled
+    numbered = number_by_hash(df.where("y < 100").selectExpr("g", "y", "CAST(y AS INT) % 7 AS h"), ["g"], "h", ["y"])
+    assert sorted(r["row_no"] for r in numbered.where("g IS NULL").collect()) == [1, 2]

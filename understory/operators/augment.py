@@ -80,8 +80,9 @@ def over_months(df: DataFrame, months: int = 12) -> DataFrame:
 
 
 def months_from_bands(df: DataFrame, array: str, keep: Sequence[str], months: int = 12) -> DataFrame:
-    """Flat band arrays as (channel, month, value) when their length divides into months."""
-    return (df.where(F.size(array) % months == 0).select(*keep, F.posexplode(array).alias("_p", "value"))
+    """Flat band arrays as (channel, month, value); a last channel with fewer months is filled up with NULL."""
+    missing = F.array_repeat(F.lit(None), F.pmod(-F.size(array), F.lit(months)))
+    return (df.select(*keep, F.posexplode(F.concat(array, missing)).alias("_p", "value"))
             .select(*keep, F.floor(F.col("_p") / months).cast("int").alias("channel"),
                     (F.col("_p") % months + 1).alias("month"), "value"))
 

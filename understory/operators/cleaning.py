@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from understory.functions import fixed
 from understory.functions.exprs import agreement, between, finite_or_null
-from understory.operators.order import exact_medians
+from understory.operators.order import exact_medians, join_groups
 
 
 def quality_footprints(df: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def fill_group_median(df: DataFrame, keys: Sequence[str], columns: Sequence[str]
     names = {c: f"_med_{c}" for c in columns}
     med = med.select(*keys, *[F.col(c).alias(n) for c, n in names.items()])
     if keys:
-        joined = cleaned.join(med, list(keys), "left")
+        joined = join_groups(cleaned, med, keys, "left")
     else:
         row = med.select(F.struct(*names.values()).alias("x")).scalar()
         joined = cleaned.withColumns({n: row[n] for n in names.values()})

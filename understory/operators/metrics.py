@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from understory.functions import fixed, stats
-from understory.functions.exprs import as_col, between, clip, equal_width_bin, height_class
+from understory.functions.exprs import as_col, between, clip, equal_width_bin, height_class, is_finite
 from understory.session import written
 from understory.operators.order import average_ranks, exact_quantiles, value_counts
 
@@ -27,7 +27,8 @@ def stacked(df: DataFrame, keep: Sequence[str], columns: Sequence[str], name: st
 
 
 def finite_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    """Rows where both sides are finite numbers: neither NULL, NaN nor infinite."""
+    return df.where(F.coalesce(is_finite(x) & is_finite(y), F.lit(False)))
 
 
 # ---- metric tables --------------------------------------------------------------
@@ -238,7 +239,7 @@ def sigma_filter_pair(df: DataFrame, ref: str, aux: str, keys: Sequence[str] = (
     ``min_rows`` is a number or a column over the keys. Groups with fewer than ``min_rows`` rows before or after are dropped whole. The
     statistics are one aggregate row per group, joined back; no group is gathered.
     """
-    from understory.operators.order import _ALL, null_safe_keys
+    from understory.operators.order import _ALL, join_groups, null_safe_keys
 
     valid, group = null_safe_keys(finite_pairs(df, ref, aux), keys)
     bound = F.lit(min_rows) if isinstance(min_rows, int) else min_rows
@@ -249,10 +250,10 @@ def sigma_filter_pair(df: DataFrame, ref: str, aux: str, keys: Sequence[str] = (
     inside = (within_sigma(ref, F.col("_rm"), F.col("_rs"))
               & within_sigma(aux, F.col("_am"), F.col("_as"))
               & between(ref, 0, 100) & between(aux, 0, 100, low_open=False))
-    kept = valid.join(spread, group).where(inside).drop("_n", "_rm", "_rs", "_am", "_as")
+    kept = join_groups(valid, spread, group).where(inside).drop("_n", "_rm", "_rs", "_am", "_as")
     enough = (kept.groupBy(*group).agg(F.count(F.lit(1)).alias("_m"))
               .where(F.col("_m") >= bound).select(*group))
-    return kept.join(enough, group, "left_semi").drop(_ALL)
+    return join_groups(kept, enough, group, "left_semi").drop(_ALL)
 
 
 def clean_metrics(df: DataFrame, ref: str, aux: str, keys: Sequence[str] = (),
@@ -297,13 +298,13 @@ def class_histogram(df: DataFrame, value: str, edges: Sequence[float]) -> DataFr
 
 def histogram(df: DataFrame, value: str, bins: int = 50, keys: Sequence[str] = ()) -> DataFrame:
     """Equal-width density histogram between each group's minimum and maximum."""
-    from understory.operators.order import _ALL, null_safe_keys
+    from understory.operators.order import _ALL, join_groups, null_safe_keys
 
     rows, group = null_safe_keys(df.where(F.col(value).isNotNull()), keys)
     span = rows.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
                                     F.count(F.lit(1)).alias("_n"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-    counted = (rows.join(span, group)
+    counted = (join_groups(rows, span, group)
                .withColumn("bin", equal_width_bin(value, "_lo", "_hi", bins))
                .groupBy(*group, "bin").agg(F.count(F.lit(1)).alias("count"), F.first("_lo").alias("_lo"),
                                            F.first("_hi").alias("_hi"), F.first("_n").alias("_n")))

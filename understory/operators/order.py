@@ -31,6 +31,13 @@ def null_safe_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[
     return df.withColumn(_ALL, F.lit(0)), [_ALL]
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a row per group back to the rows; a NULL key is a group like any other."""
+    right = groups.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [rows[k].eqNullSafe(right[f"_of_{k}"]) for k in keys]
+    return rows.join(right, same, how).drop(*[f"_of_{k}" for k in keys])
+
+
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """(keys, value, n) for the non-null values of ``value``."""
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
@@ -181,7 +188,8 @@ def number_by_hash(df: DataFrame, keys: Sequence[str], hash_col: str, tie: Seque
     With ``limit`` (a number or a column) slices that start beyond it are dropped before
     any row is sorted, and rows numbered above it after.
     """
-    df, group = null_safe_keys(df, keys)
+    # A struct of the keys is never NULL, so rows with NULL keys meet, and join and window share one partitioning.
+    df, group = df.withColumn(_ALL, F.struct(*keys) if keys else F.lit(0)), [_ALL]
     slices = df.withColumn("_slice", F.floor(F.col(hash_col) * buckets / HASH_RANGE).cast("int"))
     counts = slices.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)

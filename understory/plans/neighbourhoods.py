@@ -130,9 +130,9 @@ def broadcast_time(t):
     return rounded(G.over_months(t.pixels.select(*CELL, "B4")))
 
 
-@query("reshape_months", f"""SELECT vec_id, CAST((i - 1) // 12 AS INT) AS channel, CAST((i - 1) % 12 + 1 AS INT) AS month, {r('v')} AS value FROM (SELECT vec_id, unnest(embedding[1:60]) AS v, generate_subscripts(embedding[1:60], 1) AS i FROM embedding_pixels)""")
+@query("reshape_months", f"""SELECT vec_id, CAST((i - 1) // 12 AS INT) AS channel, CAST((i - 1) % 12 + 1 AS INT) AS month, {r('v')} AS value FROM (SELECT vec_id, embedding[i] AS v, i FROM embedding_pixels, range(1, 73) AS places(i))""")
 def reshape_months(t):
-    px = t.embedding_pixels.select("vec_id", F.slice("embedding", 1, 60).cast("array<double>").alias("bands"))
+    px = t.embedding_pixels.select("vec_id", F.col("embedding").cast("array<double>").alias("bands"))
     return rounded(G.months_from_bands(px, "bands", ["vec_id"]))
 
 

@@ -23,7 +23,7 @@ def scan_scenes(t):
 
 
 @query("scan_granules", f"""WITH g AS (SELECT granule_key FROM granules WHERE time_start > TIMESTAMP '1996-01-01' AND time_end < TIMESTAMP '2001-06-01' AND min_lon <= 134.8 AND max_lon >= 134.2
-   AND min_lat <= 34.9 AND max_lat >= 34.1 ORDER BY time_start, granule_key LIMIT 10)
+   AND min_lat <= 34.9 AND max_lat >= 34.1)
  SELECT fid, granule_key, {r('rh')} AS rh FROM footprints WHERE granule_key IN (SELECT granule_key FROM g)""")
 def scan_granules(t):
     chosen = S.first_granules(t.granules, "1996-01-01", "2001-06-01", (134.2, 34.1, 134.8, 34.9))
@@ -74,9 +74,9 @@ def load_patches_dir(t):
                                               F.avg("reference_height").alias("mean_target")))
 
 
-@query("load_patch", f"""SELECT patch_num, row, col, {r('"B4"')} AS "B4", {r('"S1_VV"')} AS "S1_VV", {r('reference_height')} AS target FROM pixels WHERE row < 48 AND col < 48""")
+@query("load_patch", f"""SELECT patch_num, row, col, {r('"B4"')} AS "B4", {r('"S1_VV"')} AS "S1_VV", {r('reference_height')} AS target FROM pixels""")
 def load_patch(t):
-    return rounded(S.patch_data(t.pixels, ["B4", "S1_VV"], "reference_height", CELL, 48))
+    return rounded(S.patch_data(t.pixels, ["B4", "S1_VV"], "reference_height", CELL))
 
 
 @query("load_aoi", f"""SELECT {r('min(longitude)')} AS min_lon, {r('min(latitude)')} AS min_lat, {r('max(longitude)')} AS max_lon, {r('max(latitude)')} AS max_lat, 5 AS n_points FROM footprints""")

@@ -16,7 +16,7 @@ DELAY = "3650 days"  # the tables are not in time order; a live feed would use d
 def streamed(t: Tables) -> Tables:
     """The same views over a stream of the line table."""
     live = Tables(t.spark, t.folder)
-    live.lineitem = J.file_stream(t.spark, t.folder, t.lineitem.schema, "lineitem.parquet")
+    live.lineitem = J.file_stream(t.spark, f"{t.folder}/lineitem.parquet", t.lineitem.schema)
     return live
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from understory.functions.exprs import region_name_of, region_of, file_name
@@ -21,34 +22,35 @@ def scan_scenes(scenes: DataFrame, start: str, end: str, px_low: int, px_high: i
     return scenes.where(keep)
 
 
-def first_granules(granules: DataFrame, start: str, end: str, box: tuple[float, float, float, float], k: int = 10) -> DataFrame:
-    """The first k granules strictly inside the period whose bounds meet the box."""
+def first_granules(granules: DataFrame, start: str, end: str, box: tuple[float, float, float, float], k: int | None = None) -> DataFrame:
+    """The granules strictly inside the period whose bounds meet the box: all of them, or on request the first k."""
     x0, y0, x1, y1 = box
     hit = ((F.col("time_start") > F.lit(start).cast("timestamp_ntz")) & (F.col("time_end") < F.lit(end).cast("timestamp_ntz"))
            & (F.col("min_lon") <= x1) & (F.col("max_lon") >= x0) & (F.col("min_lat") <= y1) & (F.col("max_lat") >= y0))
-    return granules.where(hit).orderBy("time_start", "granule_key").limit(k)
+    found = granules.where(hit)
+    return found if k is None else found.orderBy("time_start", "granule_key").limit(k)
 
 
 def granule_footprints(footprints: DataFrame, chosen: DataFrame, key: str = "granule_key") -> DataFrame:
-    """Footprints of the chosen granules; the index rows are at most k, so they are broadcast."""
-    return footprints.join(F.broadcast(chosen.select(key)), key, "left_semi")
+    """Footprints of the chosen granules."""
+    return footprints.join(chosen.select(key), key, "left_semi")
 
 
 def read_point_tables(spark: SparkSession, folder: str, globs: Sequence[str], schema: str,
                       heights: Sequence[str], minimum: int = 2) -> DataFrame:
     """CSV files matching any pattern, with region and file name, missing columns as NULL.
 
-    The schema is given, never inferred. Rows of a file count only when at least
-    ``minimum`` of the height columns hold a value in it.
+    The schema is given, never inferred, and columns are bound by their names in each file's own header: files with one
+    header are read together, in its order. Rows of a file count only when at least ``minimum`` of the height columns
+    hold a value in it.
     """
-    path = F.col("_metadata.file_path")
-    df = (spark.read.schema(schema).option("header", "true").option("pathGlobFilter", "*.csv")
-          .option("recursiveFileLookup", "true").csv(folder))
+    path = F.col("_path")
+    df = _by_header(spark, folder, StructType.fromDDL(schema))
     wanted = None
     for g in globs:
         hit = file_name(path).rlike(_glob_pattern(g))
         wanted = hit if wanted is None else wanted | hit
-    df = df.withColumn("source_file", file_name(path)).where(wanted)
+    df = df.withColumn("source_file", file_name(path)).where(wanted).drop("_path")
     region = region_of("source_file")
     df = df.withColumns({"region_code": region, "region_name": region_name_of(region)})
     held = df.groupBy("source_file").agg(*[F.count(h).alias(h) for h in heights])
@@ -56,6 +58,25 @@ def read_point_tables(spark: SparkSession, folder: str, globs: Sequence[str], sc
     return df.join(enough, "source_file", "left_semi")
 
 
+def _by_header(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """All CSV files below a folder; the driver sees one header and path for each file, never a row."""
+    found = {"pathGlobFilter": "*.csv", "recursiveFileLookup": "true"}
+    names = F.transform(F.split("value", ","), lambda n: F.trim(F.regexp_replace(n, '^"|"$', "")))
+    lines = (spark.read.options(**found).text(folder).select(names.alias("names"), F.col("_metadata.file_path").alias("path"))
+             .where(F.forall("names", lambda n: n.rlike("^[A-Za-z_][A-Za-z0-9_ ]*$")) & F.arrays_overlap(
+                 "names", F.array(*map(F.lit, schema.names)))).distinct())
+    files: dict[tuple[str, ...], list[str]] = {}
+    for row in lines.toLocalIterator():
+        files.setdefault(tuple(row["names"]), []).append(row["path"])
+    out = spark.createDataFrame([], schema).withColumn("_path", F.lit(""))
+    for header, paths in sorted(files.items()):
+        kinds = StructType([schema[n] if n in schema.names else StructField(f"_other_{i}", StringType()) for i, n in enumerate(header)])
+        part = spark.read.schema(kinds).option("header", "true").csv(paths).select(
+            *[n for n in header if n in schema.names], F.col("_metadata.file_path").alias("_path"))
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def _glob_pattern(glob: str) -> str:
     return "^" + glob.replace(".", r"\.").replace("*", ".*") + "$"
 
@@ -86,9 +107,10 @@ def prediction_stack(stack: DataFrame, names: Sequence[str], keys: Sequence[str]
     return out
 
 
-def patch_data(px: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], size: int = 256) -> DataFrame:
-    """Bands and target of a patch, cropped to its first ``size`` cells a side."""
-    return px.where((F.col("row") < size) & (F.col("col") < size)).select(*keys, *features, F.col(target).alias("target"))
+def patch_data(px: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], size: int | None = None) -> DataFrame:
+    """Bands and target of a patch: whole, or on request cropped to its first ``size`` cells a side."""
+    rows = px if size is None else px.where((F.col("row") < size) & (F.col("col") < size))
+    return rows.select(*keys, *features, F.col(target).alias("target"))
 
 
 def read_aoi(spark: SparkSession, path: str) -> DataFrame:

@@ -11,11 +11,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from understory.session import new_path
 
 
-def file_stream(spark: SparkSession, folder: str, schema, glob: str, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+def file_stream(spark: SparkSession, folder: str, schema, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
+    """A stream over the files of a table, be it a folder of parts or a single file.
+
+    A plain path has to be a folder, so the path is given as a pattern that fits just itself.
+    """
+    reader = spark.readStream.schema(schema)
+    if glob is not None:
+        reader = reader.option("pathGlobFilter", glob)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    path = folder.rstrip("/")
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def new_items(stream: DataFrame, done: DataFrame, key: str, ts: str, delay: str, checkpoint: str | None = None,
