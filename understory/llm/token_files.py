@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -17,6 +18,10 @@ from understory.session import new_path, written
 END_ID = 0
 #: Chunks whose ids a worker remembers in either of two generations.
 CHUNKS = 700_000
+#: Bytes of text that a task takes up at a time.
+BATCH = 4_000_000
+#: Chunks that the library encodes as one text.
+JOINED = 256
 
 
 class Ids:
@@ -37,23 +42,67 @@ class Ids:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.unsafe = re.compile(r"\s (?:\s|\Z)").search
-        self.code = {"<u2": "H", "<u4": "I"}[kind]
+        self.code, self.kind = {"<u2": "H", "<u4": "I"}[kind], kind
         self.chunks = Remembered(CHUNKS)
+        vocabulary_ids = self.tokenizer.get_vocab()
+        # Byte-level vocabularies write the blank as this letter.
+        self.opens = np.zeros(max(vocabulary_ids.values(), default=0) + 1, bool)
+        self.opens[[i for token, i in vocabulary_ids.items() if token.startswith("\u0120")]] = True
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text: its first chunk, or the whole of an unsafe text, and then its other chunks."""
-        cut = [[t] if self.unsafe(t) else t.split(" ") for t in texts]
-        heads = self.encoded([c[0] for c in cut])
-        tails = [c[1:] for c in cut]
-        new = list(self.chunks.missing(set().union(*tails)))
-        known = self.chunks.young
-        for k in range(0, len(new), 20_000):
-            part = new[k:k + 20_000]
-            known |= zip(part, self.encoded([" " + c for c in part]))
-        return [head + b"".join(map(known.__getitem__, tail)) for head, tail in zip(heads, tails)]
+    def with_blanks(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of each chunk after one blank. Chunks without white space at their ends are encoded many at a time.
+
+        Only a chunk's first token can start with a blank there, so such tokens part the ids again.
+        """
+        plain = [c for c in chunks if c and c.strip() == c]
+        alone = [c for c in chunks if not c or c.strip() != c]
+        groups = [plain[k:k + JOINED] for k in range(0, len(plain), JOINED)]
+        for group, raw in zip(groups, self.encoded([" " + " ".join(g) for g in groups])):
+            starts = np.flatnonzero(self.opens[np.frombuffer(raw, self.kind)]) * np.dtype(self.kind).itemsize
+            if len(starts) == len(group) and starts[0] == 0:
+                cuts = [*starts.tolist(), len(raw)]
+                yield from zip(group, map(raw.__getitem__, map(slice, cuts, cuts[1:])))
+            else:
+                alone += group
+        for k in range(0, len(alone), 20_000):
+            part = alone[k:k + 20_000]
+            yield from zip(part, self.encoded([" " + c for c in part]))
+
+    def of(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, ``end_id`` behind each, and how many each text has.
+
+        A text is its first chunk, or the whole of an unsafe text, then its other chunks and the end. Arrow numbers the
+        distinct chunks of the batch; their ids are looked up or made once and laid out by those numbers.
+        """
+        plain = texts.to_pylist()
+        whole = np.array([self.unsafe(t) is not None for t in plain], bool)
+        lists = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        offsets = lists.offsets.to_numpy()
+        coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        first = offsets[:-1] - offsets[0]
+        chunks = coded.dictionary.to_pylist()
+        entry = coded.indices.to_numpy()
+        # A first chunk has no blank before it, so only chunks that stand elsewhere too are looked up.
+        used = np.bincount(entry, minlength=len(chunks)) > np.bincount(entry[first], minlength=len(chunks))
+        number = np.cumsum(used) - 1
+        chunks = [c for c, u in zip(chunks, used.tolist()) if u]
+        self.chunks.young |= self.with_blanks(list(self.chunks.missing(set(chunks))))
+        heads = self.encoded([t if w else t.partition(" ")[0] for t, w in zip(plain, whole.tolist())])
+        known = [*map(self.chunks.young.__getitem__, chunks), *heads, np.array([end_id], self.kind).tobytes()]
+
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // np.dtype(self.kind).itemsize
+        starts = np.cumsum(sizes) - sizes
+        places = number[entry]
+        places[first] = len(chunks) + np.arange(len(plain))
+        places = np.insert(places, np.append(first[1:], len(places)), len(known) - 1)
+        length = sizes[places]
+        behind = np.cumsum(length)
+        ids = np.frombuffer(b"".join(known), self.kind)[np.repeat(starts[places] - behind + length, length) + np.arange(length.sum())]
+        return ids, np.diff(behind[np.append(first[1:], len(entry)) + np.arange(len(plain))], prepend=0)
 
 
 def _opened(uri: str):
@@ -96,7 +145,6 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(("token ids", vocabulary, kind), lambda: Ids(vocabulary, kind))
-        end = np.array([end_id], dtype=kind).tobytes()
         part, task = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         store, path = _opened(target)
         store.create_dir(path)
@@ -104,21 +152,19 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_
         at, place, started = 0, 0, False
         bin_file = idx_file = None
 
-        for batch in small(batches, 1):
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+        for batch in small(batches, 1, BATCH):
             if not started:
                 bin_file = store.open_output_stream(f"{name}.bin.{task}", compression=None)
                 idx_file = store.open_output_stream(f"{name}.idx.{task}", compression=None)
                 idx_file.write(np.zeros(1, "<u8").tobytes())
                 started = True
-            rows = [found + end for found in encoder.of([t or "" for t in texts])]
-            counts = np.array([len(r) // np.dtype(kind).itemsize for r in rows], dtype=np.int64)
-            bin_file.write(b"".join(rows))
+            made, counts = encoder.of(pc.fill_null(batch.column(1), ""), end_id)
+            bin_file.write(made.tobytes())
             idx_file.write((at + np.cumsum(counts)).astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(np.full(len(rows), part, np.int32)), pa.array(np.arange(place, place + len(rows))), pa.array(counts)],
-                ["doc_id", "part", "place", "n_tokens"])
-            at, place = at + int(counts.sum()), place + len(rows)
+                [batch.column(0), pa.array(np.full(len(counts), part, np.int32)), pa.array(np.arange(place, place + len(counts))),
+                 pa.array(counts)], ["doc_id", "part", "place", "n_tokens"])
+            at, place = at + int(counts.sum()), place + len(counts)
         if started:
             for file, end_name in ((bin_file, "bin"), (idx_file, "idx")):
                 file.close()
