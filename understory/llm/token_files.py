@@ -17,9 +17,9 @@ from understory.session import new_path, written
 
 END_ID = 0
 #: Chunks whose ids a worker remembers in either of two generations.
-CHUNKS = 700_000
+CHUNKS = 300_000
 #: Bytes of text that a task takes up at a time.
-BATCH = 4_000_000
+BATCH = 2_000_000
 #: Chunks that the library encodes as one text.
 JOINED = 256
 
@@ -60,7 +60,8 @@ class Ids:
         plain = [c for c in chunks if c and c.strip() == c]
         alone = [c for c in chunks if not c or c.strip() != c]
         groups = [plain[k:k + JOINED] for k in range(0, len(plain), JOINED)]
-        for group, raw in zip(groups, self.encoded([" " + " ".join(g) for g in groups])):
+        for group, raw in ((g, r) for k in range(0, len(groups), 64)
+                           for g, r in zip(groups[k:k + 64], self.encoded([" " + " ".join(g) for g in groups[k:k + 64]]))):
             starts = np.flatnonzero(self.opens[np.frombuffer(raw, self.kind)]) * np.dtype(self.kind).itemsize
             if len(starts) == len(group) and starts[0] == 0:
                 cuts = [*starts.tolist(), len(raw)]
@@ -84,7 +85,7 @@ class Ids:
         offsets = lists.offsets.to_numpy()
         coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         first = offsets[:-1] - offsets[0]
-        chunks = coded.dictionary.to_pylist()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         entry = coded.indices.to_numpy()
         # A first chunk has no blank before it, so only chunks that stand elsewhere too are looked up.
         used = np.bincount(entry, minlength=len(chunks)) > np.bincount(entry[first], minlength=len(chunks))

@@ -61,8 +61,7 @@ class Remembered:
         """Those of ``keys`` that are not known; all others are in ``young`` afterwards, where they stay until the next call."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        new = keys.difference(self.young)
-        back = new.intersection(self.old)
-        old = self.old
-        self.young |= {k: old[k] for k in back}
-        return new - back
+        new, old = keys.difference(self.young), self.old
+        back = {k: old[k] for k in new if k in old}
+        self.young |= back
+        return new.difference(back)
