@@ -108,6 +108,30 @@ def test_bpe_equals_the_library_and_comes_back(documents):
     assert back == {i: (t or "").encode() for i, t in enumerate(texts) if i}
 
 
+def test_chunks_of_a_batch_give_the_ids_of_whole_texts():
+    """Odd white space, unsafe and empty texts, special tokens as text, one-row batches and a memory that overflows."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    with open(path, encoding="utf-8") as file:
+        ids = token_files.Ids(file.read(), "<u2")
+    ids.chunks.limit = 50
+    rng = random.Random(5)
+    parts = [" ", "  ", "\n", "\n ", "\t", "\u00a0", "\u3000", "\x1c", "a", "don't", "\u0120x", "<|endoftext|>", "12.5", "\U0001f600", "\u00e9t\u00e9", "--"]
+    texts = ["", " ", "x ", " x", "a\n b", "a\n \nb", "word " * 400] + [
+        "".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    for size in (1, 7, 200):
+        for k in range(0, len(texts), size):
+            part = texts[k:k + size]
+            found, counts = ids.of(pa.array(part, pa.string()), 0)
+            want = [e.ids + [0] for e in library.encode_batch(part, add_special_tokens=False)]
+            assert counts.tolist() == [len(w) for w in want]
+            assert np.array_equal(found, np.concatenate([np.array(w) for w in want]))
+
+
 def test_token_files_hold_what_the_library_encodes(documents):
     from tokenizers import Tokenizer
 
