@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -116,6 +117,7 @@ def dn_to_db(c: ColumnLike) -> Column:
     return F.when(c != 0, F.lit(10.0) * F.log10(c * c) - 83.0)
 
 
+# Offsets and scales of each kind of band.
 NORMALIZERS = {
     "sentinel1": lambda c: (c + 25.0) / 25.0,
     "sentinel2": lambda c: c / 10000.0,
@@ -134,21 +136,13 @@ def normalize(kind: str, c: ColumnLike) -> Column:
     return NORMALIZERS[kind](as_col(c))
 
 
-def band_base(name: str) -> str:
-    """Band name without its month suffix."""
-    return name.split("_M")[0]
-
-
 def normalize_by_name(name: str, c: ColumnLike | None = None) -> Column:
-    """Normalisation chosen by the band's own name; unknown bands pass through."""
+    """Normalisation by the first rule that the band's name, with or without a month, fits; other bands pass through."""
     c = as_col(name if c is None else c)
-    base = band_base(name)
-    if base.startswith("S1_"):
-        c = normalize("sentinel1", c)
-    elif base in fixed.S2_REFLECTANCE:
-        c = clip(c / 10000.0, 0.0, 1.0)
-    elif base == "NDVI":
-        c = clip(c, -1.0, 1.0)
+    fitting = [rule for rule in fixed.BAND_RULES if re.fullmatch(f"(?:{rule[0]})(?:_M.*)?", name)]
+    for _, offset, divisor, low, high in fitting[:1]:
+        c = (c + offset) / divisor
+        c = c if low is None else clip(c, low, high)
     return finite_or_zero(c)
 
 

@@ -61,3 +61,10 @@ RESOLUTIONS = {10: (2560, 256), 20: (2560, 128), 30: (2560, 85)}
 NODATA_CODES = [-9999.0, -32767.0, -99999.0]
 
 METRES_PER_DEGREE = 111320.0
+
+# Pattern of a band's name, offset, divisor, least and greatest value (none: not cut).
+BAND_RULES = [
+    (r"S1_.*", 25.0, 25.0, None, None),
+    ("|".join(S2_REFLECTANCE), 0.0, 10000.0, 0.0, 1.0),
+    ("NDVI", 0.0, 1.0, -1.0, 1.0),
+]
