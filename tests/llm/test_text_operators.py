@@ -189,6 +189,19 @@ def test_contexts_discover_unseen_identifiers(documents):
     assert got[100] == [(3, 20, 28)] and got[101] == [] and all(len(got[i]) == 1 for i in range(60))
 
 
+def test_all_verbatim_items_of_a_large_benchmark_are_found(documents):
+    """Many more passages than the basis has directions; one item of common words among rare ones."""
+    rng = random.Random(17)
+    names = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(4000)]
+    items = [" ".join(rng.choices(names, k=rng.randrange(15, 60))) for _ in range(2200)]
+    plain = [prose(rng, 40) for _ in range(400)]
+    items.append(prose(rng, 15))
+    rows = [(i, " ".join([*rng.choices(names, k=rng.randrange(40)), item, *rng.choices(names, k=30)])) for i, item in enumerate(items)]
+    rows += [(len(rows) + i, t) for i, t in enumerate(plain)]
+    found = leaks.leaks(documents(rows), documents(list(enumerate(items))).selectExpr("doc_id AS item_id", "text")).collect()
+    assert {(i, i) for i in range(len(items))} <= {(r.doc_id, r.item_id) for r in found}
+
+
 def test_leaks_are_found_whatever_their_dress(documents):
     rng = random.Random(7)
     items = [prose(rng, n) + " " + "".join(rng.choice("abcdefgh") for _ in range(9)) for n in (12, 20, 40, 130)] + ["", None]

@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Words are hashed to features; their document frequencies come from all documents. The TF-IDF matrix of the benchmark's
-passages is decomposed by a distributed randomised SVD. Document windows are projected into the latent space and meet
-the passages whose cosine is high enough; a longest common subsequence and, for weaker overlaps, a check for the item's
-answer then decide on whole items.
+passages is cut into parts of at most as many passages as the basis has directions, and each part is decomposed by a
+distributed randomised SVD, so that no passage loses length in the latent space however many items there are. Document
+windows are projected into the latent spaces and meet the passages whose cosine is high enough or that they cover by half;
+a longest common subsequence and, for weaker overlaps, a check for the item's answer then decide on whole items.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ OVERSAMPLE = 16
 WINDOW, STRIDE = 32, 16
 PASSAGE = 48
 COSINE = 0.4
+#: Two windows that do not overlap hold any verbatim passage whole, so one of them covers half of its squared length.
+COVERED = 0.499
 #: The least of (1 + log c) ** 2 / c for c up to WINDOW.
 TF_LOSS = 0.62
 #: A common subsequence of this share of the item's words is a leak; from the lower share on, if the answer is there too.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.7, 0.5, 0.8
-#: Items compared in one pass over the documents; larger benchmarks take several passes.
-ITEMS = 20_000
+#: Parts of up to RANK passages compared in one pass over the documents; larger benchmarks take several passes.
+PARTS = 32
 WORDS = 300_000
 #: All but ASCII letters, digits and what lies beyond ASCII parts words.
 GAPS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -94,70 +97,79 @@ def passages(words: list[bytes]) -> list[list[bytes]]:
     return [words[s:s + PASSAGE] for s in starts]
 
 
-def unit_row(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features and values of one passage's TF-IDF row, of unit length."""
+def row_and_length(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Features and values of one passage's TF-IDF row, of unit length, and its length before."""
     used, counts = np.unique(ids, return_counts=True)
     values = (1 + np.log(counts)) * idf[used]
-    return used, values / max(1e-12, np.sqrt((values ** 2).sum()))
+    length = max(1e-12, float(np.sqrt((values ** 2).sum())))
+    return used, values / length, length
 
 
-def latent_basis(benchmark: DataFrame, idf: np.ndarray, text_col: str = "text", rank: int = RANK) -> np.ndarray:
-    """The leading right singular vectors (feature, rank) of the TF-IDF matrix of all benchmark passages.
+def latent_bases(cut: DataFrame, idf: np.ndarray, rank: int = RANK) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each part of ``cut`` (``part``, ``words`` of one passage) its features and their right singular vectors.
 
-    A randomised SVD in three passes over the distributed rows: the Gram matrix of the sketch Y = A G orthonormalises
-    it, B = Q'A is summed by blocks of features, and the small Gram matrix B B' gives the rotation. What leaves the
-    tasks is a sketch by a fixed number of features, never the passages.
+    A randomised SVD of the TF-IDF matrix of every part, of all parts in the same three passes over the distributed rows:
+    the Gram matrix of the sketch Y = A G orthonormalises it, B = Q'A is summed by features, and the small Gram matrix
+    B B' gives the rotation. What leaves the tasks is a sketch by a fixed number of features for each part. A part of at
+    most ``rank`` passages keeps its whole row space.
     """
     size = rank + OVERSAMPLE
 
-    def sketch(text: str, hashed: Hashed, gauss: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for passage in passages(words_of(text)):
-            used, values = unit_row(hashed.of(passage), idf)
-            yield used, values, values @ gauss[used]
-
     def noise() -> np.ndarray:
         return np.random.default_rng(1).standard_normal((FEATURES, size)).astype(np.float32)
 
+    def sketch(batch: pa.RecordBatch, hashed: Hashed, gauss: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for part, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            used, values, _ = row_and_length(hashed.of(words.split()), idf)
+            yield part, used, values, values @ gauss[used]
+
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, gauss, total = Hashed(), noise(), np.zeros((size, size))
+        hashed, gauss, totals = Hashed(), noise(), {}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for _, _, y in sketch(text, hashed, gauss):
-                    total += np.outer(y, y)
-        i = np.arange(size * size)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total.ravel())], ["i", "x"])
-
-    rows = benchmark.select(F.col(text_col).cast("string").alias("text"))
-    sums = rows.mapInArrow(gram, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-    square = np.zeros(size * size)
-    square[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
-    values, vectors = np.linalg.eigh(square.reshape(size, size))
-    keep = values > max(values.max(initial=0), 1e-12) * 1e-9
-    whiten = vectors[:, keep] / np.sqrt(values[keep])
-    if not keep.any():
-        return np.zeros((FEATURES, 1), np.float32)
+            for part, _, _, y in sketch(batch, hashed, gauss):
+                if part not in totals:
+                    totals[part] = np.zeros((size, size))
+                totals[part] += np.outer(y, y)
+        i = pa.array(np.arange(size * size))
+        for part, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size * size, part)), i, pa.array(total.ravel())], ["part", "i", "x"])
+
+    sums = cut.mapInArrow(gram, "part long, i long, x double").groupBy("part", "i").agg(F.sum("x").alias("x")).toArrow()
+    of, place, sums = (sums.column(c).to_numpy() for c in range(3))
+    whitened = {}
+    for part in np.unique(of).tolist():
+        square = np.zeros(size * size)
+        square[place[of == part]] = sums[of == part]
+        values, vectors = np.linalg.eigh(square.reshape(size, size))
+        keep = values > max(values.max(initial=0), 1e-12) * 1e-9
+        whitened[part] = vectors[:, keep] / np.sqrt(values[keep])
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, gauss, sums = Hashed(), noise(), {}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for used, values, y in sketch(text, hashed, gauss):
-                    q = y @ whiten
-                    for f, v in zip(used.tolist(), values):
-                        sums[f] = sums.get(f, 0) + v * q
-        for f in sorted(sums):
-            yield pa.RecordBatch.from_arrays([pa.array([f]), pa.array([sums[f].tolist()])], ["feature", "b"])
-
-    parts = rows.mapInArrow(project, "feature long, b array<double>")
-    width = int(keep.sum())
-    summed = parts.groupBy("feature").agg(F.collect_list("b").alias("b"))
-    b = np.zeros((FEATURES, width))
-    for row in summed.toLocalIterator():
-        b[row["feature"]] = np.sum(row["b"], axis=0)
-    values, turn = np.linalg.eigh(b.T @ b)
-    top = np.argsort(-values)[:rank]
-    top = top[values[top] > max(values.max(), 1e-12) * 1e-9]
-    return (b @ turn[:, top] / np.sqrt(values[top])).astype(np.float32)
+            for part, used, values, y in sketch(batch, hashed, gauss):
+                q = y @ whitened[part]
+                for f, v in zip(used.tolist(), values):
+                    sums[part, f] = sums.get((part, f), 0) + v * q
+        keys = sorted(sums)
+        for k in range(0, len(keys), 256):
+            some = keys[k:k + 256]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in some], pa.int64()), pa.array([f for _, f in some], pa.int64()),
+                                              pa.array([sums[key] for key in some], pa.list_(pa.float64()))], ["part", "feature", "b"])
+
+    made = cut.mapInArrow(project, "part long, feature long, b array<double>")
+    rows: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for row in made.groupBy("part", "feature").agg(F.collect_list("b").alias("b")).toLocalIterator():
+        rows.setdefault(row["part"], []).append((row["feature"], np.sum(row["b"], axis=0)))
+    out = {}
+    for part, found in rows.items():
+        found.sort(key=lambda x: x[0])
+        b = np.array([x for _, x in found])
+        values, turn = np.linalg.eigh(b.T @ b)
+        top = np.argsort(-values)[:rank]
+        top = top[values[top] > max(values.max(initial=0), 1e-12) * 1e-9]
+        out[part] = np.array([f for f, _ in found], np.int64), (b @ turn[:, top] / np.sqrt(values[top])).astype(np.float32)
+    return out
 
 
 def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
@@ -186,8 +198,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     subsequence with the window and its surroundings (an item's length on either side). Words are runs of ASCII
     letters, digits and characters beyond ASCII, lower-cased, so case and punctuation do not hide a leak. NULL and empty
     texts hold nothing and are held by nothing; items without words cannot leak; repeated rows give repeated pairs;
-    empty tables give no rows. The benchmark is the query set: it goes to the tasks in parts of ``ITEMS`` items, one
-    pass over the documents for each part.
+    empty tables give no rows. The benchmark is the query set: it goes to the tasks in parts of ``RANK`` passages, about
+    ``PARTS`` of them in one pass over the documents. A verbatim copy of a passage always comes to the comparison.
     """
     frequencies, n = document_frequencies(docs, text_col)
     idf = weights(frequencies, n)
@@ -195,72 +207,89 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     schema = f"doc_id {id_kind}, item_id {item_kind}, at long, cosine double, lcs double, answer double"
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text"),
                              (F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")).alias("answer"))
-    passes = max(1, -(-items.count() // ITEMS))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array([len(passages(words_of(t))) for t in batch.column(0).to_pylist()], pa.int64())], ["n"])
+
+    total = with_texts(items).select("text").mapInArrow(counted, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+    passes = max(1, -(-total // (RANK * PARTS)))
     out = None
     for turn in range(passes):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == turn)
-        found = _pass(docs, part, idf, latent_basis(part, idf), id_col, text_col, schema)
+        found = _pass(docs, part, idf, id_col, text_col, schema)
         out = found if out is None else out.union(found)
     return out
 
 
-def _pass(docs: DataFrame, items: DataFrame, idf: np.ndarray, basis: np.ndarray, id_col: str, text_col: str, schema: str) -> DataFrame:
-    kept = [(r["item_id"], words_of(r["text"]), r["answer"]) for r in items.collect()]  # about ITEMS rows
+def _pass(docs: DataFrame, items: DataFrame, idf: np.ndarray, id_col: str, text_col: str, schema: str) -> DataFrame:
+    kept = [(r["item_id"], words_of(r["text"]), r["answer"]) for r in items.collect()]  # about RANK * PARTS passages
     kept = [(i, w, answer_of(w, a)) for i, w, a in kept if w]
+    cut = [(k, passage) for k, (_, words, _) in enumerate(kept) for passage in passages(words)]
+    sent = pa.table({"part": pa.array([j // RANK for j in range(len(cut))], pa.int64()), "words": pa.array([b" ".join(p) for _, p in cut], pa.binary())})
+    bases = latent_bases(docs.sparkSession.createDataFrame(sent), idf) if cut else {}
     hashed = Hashed()
-    rows, owner = [], []
-    for k, (_, words, _) in enumerate(kept):
-        for passage in passages(words):
-            used, values = unit_row(hashed.of(passage), idf)
-            rows.append(values @ basis[used])
-            owner.append(k)
-    latent = np.array(rows, np.float32).reshape(len(rows), basis.shape[1])
-    latent = latent / np.maximum(np.sqrt((latent ** 2).sum(axis=1)), 1e-12)[:, None]
-    owner = np.array(owner, np.int64)
-    most = np.zeros(FEATURES)
-    for k in range(0, len(latent), 256):
-        most = np.maximum(most, (basis @ latent[k:k + 256].T).max(axis=1, initial=0))
-    held = np.flatnonzero((basis ** 2).sum(axis=1) > 1e-12)
-    slim = basis[held]
+    parts = []
+    for part, (held, basis) in sorted(bases.items()):
+        row_of = np.zeros(FEATURES, np.int64)
+        row_of[held] = np.arange(len(held))
+        mine = cut[part * RANK:(part + 1) * RANK]
+        made = [row_and_length(hashed.of(passage), idf) for _, passage in mine]
+        latent = np.array([values @ basis[row_of[used]] for used, values, _ in made], np.float32)
+        latent = latent / np.maximum(np.sqrt((latent ** 2).sum(axis=1)), 1e-12)[:, None]
+        parts.append((held, basis @ latent.T, np.array([x for _, _, x in made], np.float32), np.array([k for k, _ in mine], np.int64)))
     kind_names = ["doc_id", "item_id", "at", "cosine", "lcs", "answer"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Hashed()
-        row_of = np.full(FEATURES, -1, np.int64)
-        row_of[held] = np.arange(len(held))
-        mass, gain = idf.astype(np.float64) ** 2, idf * most
+        mass = idf.astype(np.float64) ** 2
+        # What one occurrence of a word adds at most to the cosine with a passage of the part, and to how much of it is covered.
+        gain, cover = np.zeros((len(parts), FEATURES)), np.zeros((len(parts), FEATURES))
+        rows_of = np.full((len(parts), FEATURES), -1, np.int32)
+        for p, (held, reach, length, _) in enumerate(parts):
+            rows_of[p, held] = np.arange(len(held))
+            gain[p, held] = idf[held] * reach.max(axis=1, initial=0)
+            cover[p, held] = idf[held] * (reach / length).max(axis=1, initial=0)
+
+        def windows(rows: np.ndarray, ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
+            sums = np.add.reduceat(rows[:, ids], edges, axis=1)
+            sums[:, :-1] += sums[:, 1:].copy()
+            return sums
 
         def judge(words: list[bytes]) -> list[tuple[int, int, float, float, float]]:
             ids = hashed.of(words)
             edges = np.arange(0, len(ids), STRIDE)
-            part, whole = np.add.reduceat(gain[ids], edges), np.add.reduceat(mass[ids], edges)
-            part[:-1], whole[:-1] = part[:-1] + part[1:], whole[:-1] + whole[1:]
+            whole = windows(mass[None], ids, edges)
             # An upper bound of the cosine: c equal words add at most c times one word's gain, and at least TF_LOSS times c
             # times its mass to the squared length, as (1 + log c) ** 2 >= TF_LOSS * c up to a window's words.
-            near = edges[part >= COSINE * np.sqrt(TF_LOSS * whole)]
-            if not len(near):
+            near = windows(gain, ids, edges) >= COSINE * np.sqrt(TF_LOSS * whole)
+            near |= windows(cover, ids, edges) >= COVERED
+            some = np.flatnonzero(near.any(axis=0))
+            if not len(some):
                 return []
-            made = np.zeros((len(near), slim.shape[1]), np.float32)
-            for i, s in enumerate(near):
-                used, values = unit_row(ids[s:s + WINDOW], idf)
-                row = row_of[used]
-                made[i] = values[row >= 0].astype(np.float32) @ slim[row[row >= 0]]
-            cosine = made @ latent.T
-            at, which = np.nonzero(cosine >= COSINE)
+            found: list[tuple[float, int, int]] = []
+            for w in some.tolist():
+                s = int(edges[w])
+                used, values, length = row_and_length(ids[s:s + WINDOW], idf)
+                values = values.astype(np.float32)
+                for p in np.flatnonzero(near[:, w]).tolist():
+                    _, reach, lengths, owner = parts[p]
+                    row = rows_of[p, used]
+                    cosine = values[row >= 0] @ reach[row[row >= 0]]
+                    for q in np.flatnonzero((cosine >= COSINE) | (cosine * length >= COVERED * lengths)).tolist():
+                        found.append((float(cosine[q]), s, int(owner[q])))
             best: dict[int, tuple[int, int, float, float, float]] = {}
-            for i, p in sorted(zip(at.tolist(), which.tolist()), key=lambda x: -cosine[x[0], x[1]]):
-                k = int(owner[p])
+            for cosine, s, k in sorted(found, key=lambda x: -x[0]):
                 if k in best and best[k][3] >= LCS:
                     continue
                 _, item, answer = kept[k]
-                s = int(near[i])
                 around = words[max(0, s - len(item)):s + WINDOW + len(item)]
                 lcs = common_subsequence(item, around) / len(item)
                 if lcs < LCS_WITH_ANSWER or k in best and best[k][3] >= lcs:
                     continue
                 said = common_subsequence(answer, around) / len(answer)
                 if lcs >= LCS or said >= ANSWER:
-                    best[k] = (k, s, float(cosine[i, p]), lcs, said)
+                    best[k] = (k, s, cosine, lcs, said)
             return list(best.values())
 
         for batch in small(batches, 1):
