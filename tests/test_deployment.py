@@ -1,5 +1,6 @@
 """Runs away from the repository: workers get the package's functions by value; tables may be folders of parts."""
 
+import csv
 import os
 import subprocess
 import sys
@@ -50,3 +51,22 @@ def test_csv_columns_are_bound_by_name(spark, tmp_path):
     rows = scans.read_point_tables(spark, str(tmp_path), ["*.csv"], "fid string, region string, rh double, reference_height double",
                                    ["rh", "reference_height"]).collect()
     assert sorted((r.fid, r.rh, r.reference_height, r.region) for r in rows) == [("1", 10.0, 20.0, None), ("2", None, 21.0, None), ("3", 5.5, 6.5, None)]
+
+
+def test_csv_files_with_odd_headers_are_read_whole(spark, tmp_path):
+    heads = ["\ufefffid,rh,reference_height", ",fid,rh,reference_height", "system:index,fid,rh,reference_height,.geo",
+             '"rh (m)",fid,rh,reference_height,"a, b"', "fid,rh,reference_height,rh", "\nfid,rh,reference_height"]
+    for i, head in enumerate(heads):
+        names = next(csv.reader([head.strip("\ufeff\n")]))
+        row = [{"fid": str(i), "rh": "1.5", "reference_height": "2.5"}[n] if n in names and n in ("fid", "rh", "reference_height") else "9" for n in names]
+        (tmp_path / f"{i} [x]_gedi.csv").write_text(head + "\n" + ",".join(row) + "\n", encoding="utf-8")
+    (tmp_path / "empty_gedi.csv").write_text("")
+    (tmp_path / "notes.csv").write_text("something,else\n1,2\n")
+    from understory.sources import scans
+
+    def read(globs):
+        return scans.read_point_tables(spark, str(tmp_path), globs, "fid string, rh double, reference_height double", ["rh", "reference_height"])
+
+    assert sorted(tuple(r) for r in read(["*_gedi.csv"]).select("fid", "rh", "reference_height").collect()) == [(str(i), 1.5, 2.5) for i in range(len(heads))]
+    with pytest.raises(ValueError, match="notes.csv"):
+        read(["*.csv"])

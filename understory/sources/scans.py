@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -41,16 +44,11 @@ def read_point_tables(spark: SparkSession, folder: str, globs: Sequence[str], sc
     """CSV files matching any pattern, with region and file name, missing columns as NULL.
 
     The schema is given, never inferred, and columns are bound by their names in each file's own header: files with one
-    header are read together, in its order. Rows of a file count only when at least ``minimum`` of the height columns
-    hold a value in it.
+    header are read together, in its order. A file whose header has none of the schema's columns fails the scan. Rows of a
+    file count only when at least ``minimum`` of the height columns hold a value in it.
     """
-    path = F.col("_path")
-    df = _by_header(spark, folder, StructType.fromDDL(schema))
-    wanted = None
-    for g in globs:
-        hit = file_name(path).rlike(_glob_pattern(g))
-        wanted = hit if wanted is None else wanted | hit
-    df = df.withColumn("source_file", file_name(path)).where(wanted).drop("_path")
+    df = _by_header(spark, folder, globs, StructType.fromDDL(schema))
+    df = df.withColumn("source_file", file_name(F.col("_path"))).drop("_path")
     region = region_of("source_file")
     df = df.withColumns({"region_code": region, "region_name": region_name_of(region)})
     held = df.groupBy("source_file").agg(*[F.count(h).alias(h) for h in heights])
@@ -58,25 +56,41 @@ def read_point_tables(spark: SparkSession, folder: str, globs: Sequence[str], sc
     return df.join(enough, "source_file", "left_semi")
 
 
-def _by_header(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    """All CSV files below a folder; the driver sees one header and path for each file, never a row."""
+def _by_header(spark: SparkSession, folder: str, globs: Sequence[str], schema: StructType) -> DataFrame:
+    """All CSV files below a folder that match a pattern; the driver sees one header and path for each file, never a row."""
     found = {"pathGlobFilter": "*.csv", "recursiveFileLookup": "true"}
-    names = F.transform(F.split("value", ","), lambda n: F.trim(F.regexp_replace(n, '^"|"$', "")))
-    lines = (spark.read.options(**found).text(folder).select(names.alias("names"), F.col("_metadata.file_path").alias("path"))
-             .where(F.forall("names", lambda n: n.rlike("^[A-Za-z_][A-Za-z0-9_ ]*$")) & F.arrays_overlap(
-                 "names", F.array(*map(F.lit, schema.names)))).distinct())
+    wanted = F.lit(False)
+    for g in globs:
+        wanted = wanted | file_name(F.col("path")).rlike(_glob_pattern(g))
+    # Only the paths are asked for, so no content is read here; characters with a meaning in patterns stand for themselves.
+    listed = spark.read.format("binaryFile").options(**found).load(folder).where(wanted).select("path")
+    paths = [re.sub(r"([\\\[\]{}*?])", r"\\\1", row["path"]) for row in listed.toLocalIterator()]
+    with ThreadPoolExecutor(8) as pool:
+        headers = list(pool.map(lambda p: _header(spark, p), paths))
     files: dict[tuple[str, ...], list[str]] = {}
-    for row in lines.toLocalIterator():
-        files.setdefault(tuple(row["names"]), []).append(row["path"])
+    for path, header in zip(paths, headers):
+        if header is None:  # no line at all
+            continue
+        if not set(header) & set(schema.names):
+            raise ValueError(f"no column of {schema.names} in the header of {path}: {header}")
+        files.setdefault(header, []).append(path)
     out = spark.createDataFrame([], schema).withColumn("_path", F.lit(""))
     for header, paths in sorted(files.items()):
-        kinds = StructType([schema[n] if n in schema.names else StructField(f"_other_{i}", StringType()) for i, n in enumerate(header)])
+        # The first column of a name counts.
+        kinds = StructType([schema[n] if n in schema.names and n not in header[:i] else StructField(f"_other_{i}", StringType())
+                            for i, n in enumerate(header)])
         part = spark.read.schema(kinds).option("header", "true").csv(paths).select(
-            *[n for n in header if n in schema.names], F.col("_metadata.file_path").alias("_path"))
+            *[n for n in schema.names if n in header], F.col("_metadata.file_path").alias("_path"))
         out = out.unionByName(part, allowMissingColumns=True)
     return out
 
 
+def _header(spark: SparkSession, path: str) -> tuple[str, ...] | None:
+    """The names in a file's first line that is not blank, whatever they are; no more of the file is read."""
+    line = spark.read.text(path).where(F.trim("value") != "").first()
+    return None if line is None else tuple(n.strip() for n in next(csv.reader([line["value"].removeprefix("\ufeff")])))
+
+
 def _glob_pattern(glob: str) -> str:
     return "^" + glob.replace(".", r"\.").replace("*", ".*") + "$"
 
