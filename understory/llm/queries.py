@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from understory.llm import bpe, chat, langid, leaks, pii, quality, simhash, token_files, topk, urls
+from understory.llm import bpe, chat, langid, leaks, pii, quality, repeats, runs, simhash, token_files, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -159,3 +159,22 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     held = langid.held_out(F.col("doc_id"), 4, 2)
     found = langid.identify(docs, langid.prototypes(docs.filter(~held)))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("op12_repeated_substrings")
+def repeated_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_periodic_runs")
+def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.collapsed(table(spark, folder, "documents"), rewrite=runs.repeated_tail)
+    best = F.expr("array_max(transform(runs, r -> struct(r.length, -r.start AS start, -r.period AS period)))")
+    lines = F.array_join(F.expr("transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n'))"), "")
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.expr("(1000 * best.length) div (-best.period)").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
