@@ -8,7 +8,8 @@ stands among them. So equal passages have the same symbols but for a few at thei
 
 Spark then counts the names of the last round over all texts. A window of words around a symbol whose name occurs once
 occurs once too. What is left, passages of shared symbols only, and windows without any symbol of their own, is compared
-window by window. Names that clash could add candidates but lose none, and windows are told by 96 bits of hash.
+window by window; of equal whole texts one only. Names that clash could add candidates but lose none; windows and whole
+texts are told by 95 bits of hash.
 """
 
 from __future__ import annotations
@@ -127,10 +128,25 @@ def window_hashes(names: np.ndarray, at: np.ndarray, window: int) -> list[np.nda
     return found
 
 
-def once_each(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the values: which occur more than once, and one place of each different value."""
+#: Rows dealt out by name: a symbol, a whole text, a symbol known to repeat (or, ``at`` -1, a text with windows that hold no
+#: symbol), a text known to be a copy.
+SYMBOL, TEXT_ITSELF, KNOWN, COPY = range(4)
+
+
+def repeated(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the values: which occur more than once, and the first place of each of these."""
     _, place, back, counts = np.unique(value, return_index=True, return_inverse=True, return_counts=True)
-    return counts[back] > 1, place
+    return counts[back] > 1, place[counts > 1]
+
+
+def stretches(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the stretches of marks."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], marked.astype(np.int8), [0]])))
+    return edges[::2], edges[1::2]
+
+
+def encoded(texts: pa.Array) -> list[bytes]:
+    return [t.encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
 
 
 def _texts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -141,80 +157,116 @@ def _texts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 
 def _names(texts: DataFrame, window: int) -> DataFrame:
-    """``deal, name, key, at``: symbols ``at`` (by number in their text), dealt out by name.
+    """``deal, kind, key, at``: symbols ``at`` (by number in their text) and whole texts, dealt out by name.
 
-    A name that repeats within a task's piece of the texts goes out once without a key, and its places are known to
-    repeat: they come without a name. So a name that is everywhere costs a row a piece. A text with windows that hold no
-    symbol comes with ``at`` -1.
+    A name that repeats within a task's piece of the texts goes out without a key, once for the piece, and its places
+    go out as known. So a name that is everywhere costs a row a piece. Of a repeated text one copy goes out with its key.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(deal, kind, key, at) -> pa.RecordBatch:
+            size = len(deal)
+            at = pa.nulls(size, pa.int32()) if at is None else pa.array(at, pa.int32())
+            key = pa.nulls(size, pa.int64()) if key is None else pa.array(key)
+            return pa.RecordBatch.from_arrays([pa.array(deal), pa.array(np.full(size, kind), pa.int8()), key, at], ["deal", "kind", "key", "at"])
+
         for batch in small(batches, 0, TEXT):
-            names, sizes = word_names([t.encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()])
+            texts = encoded(batch.column(0))
+            names, sizes = word_names(texts)
             made = symbols(names, sizes, window)
             ends = np.cumsum(sizes)
             doc = np.searchsorted(ends, made.low, side="right")
             place = np.arange(len(doc)) - np.searchsorted(doc, doc, side="left")
             keys = batch.column(1).to_numpy(zero_copy_only=False)
+            again, told = repeated(made.name)
+            name = made.name.view(np.int64)
+            yield rows(name[~again], SYMBOL, keys[doc[~again]], place[~again])
+            yield rows(name[told], SYMBOL, None, None)
+            yield rows(keys[doc[again]], KNOWN, keys[doc[again]], place[again])
             bare = starts(sizes, window) & (over(made.low, made.high, len(names), window) == 0)
-            bare = np.unique(np.repeat(np.arange(len(sizes)), sizes)[bare])
-            again, one = once_each(made.name)
-            single, known = np.flatnonzero(~again), np.flatnonzero(again)
-            told = one[again[one]]
-            name = np.concatenate([made.name[single], made.name[told]]).view(np.int64)
-            blank = np.full(len(told), True)
-            key = np.concatenate([keys[doc[single]], np.zeros(len(told), np.int64)])
-            none = np.concatenate([np.zeros(len(single), bool), blank])
-            at = np.concatenate([place[single], np.zeros(len(told), np.int64)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(name), pa.array(name), pa.array(key, mask=none), pa.array(at, pa.int32(), mask=none)], ["deal", "name", "key", "at"])
-            key, at = np.concatenate([keys[doc[known]], keys[bare]]), np.concatenate([place[known], np.full(len(bare), -1)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.nulls(len(key), pa.int64()), pa.array(key), pa.array(at, pa.int32())], ["deal", "name", "key", "at"])
-
-    return texts.select("text", "key").mapInArrow(run, "deal long, name long, key long, at int")
-
-
-def _repeating(dealt: DataFrame, what: list[str]) -> DataFrame:
-    """Rows with a key whose value comes more than once, or that came without one because that is known."""
-    counted = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("deal", *what)))
-    return counted.filter(F.col("key").isNotNull() & (F.col(what[0]).isNull() | (F.col("n") > 1)))
+            bare = keys[np.unique(np.repeat(np.arange(len(sizes)), sizes)[bare])]
+            yield rows(bare, KNOWN, bare, np.full(len(bare), -1))
+            long = np.flatnonzero(sizes >= window)
+            whole = np.array([xxhash.xxh64_intdigest(texts[k], SEED + 1) for k in long], np.uint64).view(np.int64)
+            check = np.array([xxhash.xxh32_intdigest(texts[k], SEED) & 0x7FFFFFFF for k in long], np.int64)
+            again, told = repeated(whole)
+            lead = ~again
+            lead[told] = True
+            yield rows(whole[lead], TEXT_ITSELF, keys[long[lead]], check[lead])
+            yield rows(whole[told], TEXT_ITSELF, None, check[told])
+            yield rows(keys[long[~lead]], COPY, keys[long[~lead]], np.full(int((~lead).sum()), -1))
+
+    return texts.select("text", "key").mapInArrow(run, "deal long, kind byte, key long, at int")
+
+
+def _shared(dealt: DataFrame) -> DataFrame:
+    """``key, at, lead``: of every text the symbols that repeat, and if all of it does, whether it speaks for its copies."""
+    same = Window.partitionBy("deal", "kind", "more")
+    told = dealt.withColumn("more", F.when(F.col("kind") == TEXT_ITSELF, F.col("at")))
+    counted = told.select("*", F.count(F.lit(1)).over(same).alias("n"), F.min("key").over(same).alias("least"))
+    found = counted.filter(F.col("key").isNotNull() & (F.col("kind").isin(KNOWN, COPY) | (F.col("n") > 1)))
+    return found.groupBy("key").agg(
+        F.collect_list(F.when(F.col("kind").isin(SYMBOL, KNOWN), F.col("at"))).alias("at"),
+        F.max(F.when(F.col("kind") == TEXT_ITSELF, F.col("key") == F.col("least")).when(F.col("kind") == COPY, F.lit(False))).alias("lead"))
 
 
 def _windows(marked: DataFrame, window: int) -> DataFrame:
-    """``deal, tail, key, check, start``: windows that may occur twice, dealt out by hash like the names."""
-    schema = "deal long, tail int, key long, check int, start int"
+    """``deal, place, key, check, stop``: windows that may occur twice, dealt out by hash like the names.
 
+    ``place`` holds more of the hash and the window's first word. Windows known to repeat come as stretches: from the
+    first word of their first window up to ``stop``, that of their last one plus one.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(deal, place, key=None, check=None, stop=None) -> pa.RecordBatch:
+            size = len(deal)
+            rest = [pa.nulls(size, kind) if c is None else pa.array(c, kind) for c, kind in ((key, pa.int64()), (check, pa.int32()), (stop, pa.int32()))]
+            return pa.RecordBatch.from_arrays([pa.array(deal), pa.array(place), *rest], ["deal", "place", "key", "check", "stop"])
+
         for batch in small(batches, 0, TEXT):
-            names, sizes = word_names([t.encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()])
+            names, sizes = word_names(encoded(batch.column(0)))
             made = symbols(names, sizes, window)
-            offsets = np.cumsum(sizes) - sizes
-            doc = np.searchsorted(np.cumsum(sizes), made.low, side="right")
+            ends = np.cumsum(sizes)
+            offsets = ends - sizes
+            doc = np.searchsorted(ends, made.low, side="right")
             heads = np.searchsorted(doc, np.arange(len(sizes)), side="left")
             shared = np.zeros(len(doc), bool)
             for k, at in enumerate(batch.column(3)):
                 places = at.values.to_numpy()
                 shared[heads[k] + places[places >= 0]] = True
-            alone = ~shared
-            may = starts(sizes, window) & (over(made.low[alone], made.high[alone], len(names), window) == 0)
-            at = np.flatnonzero(may)
-            deal, tail = window_hashes(names, at, window)
-            owner = np.searchsorted(np.cumsum(sizes), at, side="right")
-            keys, checks = (batch.column(c).to_numpy(zero_copy_only=False)[owner] for c in (1, 2))
-            start = at - offsets[owner]
-            tail = (tail & np.uint64(0x7FFFFFFF)).astype(np.int64)
-            again, one = once_each(deal ^ (tail.astype(np.uint64) << np.uint64(33)))
-            single, known, told = np.flatnonzero(~again), np.flatnonzero(again), one[again[one]]
-            deal = deal.view(np.int64)
-            for rows, without_key, without_tail in ((single, False, False), (told, True, False), (known, False, True)):
-                first = keys[rows] if without_tail else deal[rows]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(first), pa.array(tail[rows], pa.int32(), mask=np.full(len(rows), without_tail)),
-                    *(pa.array(c[rows], kind, mask=np.full(len(rows), without_key))
-                      for c, kind in ((keys, pa.int64()), (checks, pa.int32()), (start, pa.int32())))],
-                    ["deal", "tail", "key", "check", "start"])
-
-    return marked.select("text", "key", "check", "at").mapInArrow(run, schema)
+            lead = batch.column(4)
+            copy = np.repeat(lead.is_valid().to_numpy(zero_copy_only=False), sizes)
+            silent = np.repeat(lead.fill_null(True).to_numpy(zero_copy_only=False) == 0, sizes)
+            whole = starts(sizes, window)
+            may = whole & (copy | (over(made.low[~shared], made.high[~shared], len(names), window) == 0))
+            at = np.flatnonzero(may & ~silent)
+            deal, more = window_hashes(names, at, window)
+            more &= np.uint64(0x7FFFFFFF)
+            again, told = repeated(deal ^ (more << np.uint64(33)))
+            owner = np.searchsorted(ends, at, side="right")
+            keys, checks = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            deal, more = deal.view(np.int64), more.astype(np.int64) << 32
+            known = whole & copy
+            known[at[again]] = True
+            alone = ~known[at]
+            told = np.unique(np.concatenate([told, np.flatnonzero(copy[at] & ~again)]))
+            yield rows(deal[alone], (more + at - offsets[owner])[alone], keys[owner[alone]], checks[owner[alone]])
+            yield rows(deal[told], more[told])
+            first, stop = stretches(known)
+            owner = np.searchsorted(ends, first, side="right")
+            yield rows(keys[owner], first - offsets[owner], keys[owner], checks[owner], stop - offsets[owner])
+
+    return marked.select("text", "key", "check", "at", "lead", "doc_id").mapInArrow(
+        run, "deal long, place long, key long, check int, stop int")
+
+
+def _gone(windows: DataFrame) -> DataFrame:
+    """``key, single, many``: windows that repeat, each as its text's check and its first word in one number, or in stretches."""
+    known = F.col("stop").isNotNull()
+    counted = windows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("deal", F.shiftright("place", 32), known)))
+    found = counted.filter(F.col("key").isNotNull() & (known | (F.col("n") > 1)))
+    first = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    return found.groupBy("key").agg(
+        F.collect_list(F.when(~known, F.shiftleft(F.col("check").cast("long"), 32).bitwiseOR(first))).alias("single"),
+        F.collect_list(F.when(known, F.struct("check", first.cast("int").alias("start"), "stop"))).alias("many"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -229,24 +281,27 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeat each other; ids may be NULL; an empty table gives no rows; further columns are not read. Long texts are
     pieces of their own.
     """
+    # Both joins take the same columns of the texts, so that they are dealt out once.
     texts = _texts(docs, text_col, id_col)
-    shared = _repeating(_names(texts, window), ["name"]).groupBy("key").agg(F.collect_list("at").alias("at"))
-    windows = _windows(texts.join(shared, "key"), window)
-    gone = _repeating(windows, ["tail"]).groupBy("key").agg(F.collect_list(F.struct("check", "start")).alias("gone"))
+    windows = _windows(texts.join(_shared(_names(texts, window)), "key"), window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 1):
             rows = []
-            for text, check, found in zip(*(batch.column(c) for c in (1, 2, 3))):
-                words = text.as_py().encode("utf-8", "surrogatepass").split()
+            for text, check, single, many in zip(encoded(batch.column(1)), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+                words = text.split()
                 spans = []
-                if found.is_valid:
-                    own = found.values.field(1).to_numpy()[found.values.field(0).to_numpy() == check.as_py()]
+                if single.is_valid:
+                    own = single.values.to_numpy()
+                    own = own[own >> 32 == check] & 0xFFFFFFFF
                     change = np.zeros(len(words) + 1, np.int64)
                     np.add.at(change, own, 1)
                     np.add.at(change, own + window, -1)
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(change[:-1]) > 0, [False]]).astype(np.int8)))
-                    spans = edges.reshape(-1, 2).tolist()
+                    for span in many.as_py():
+                        if span["check"] == check:
+                            change[span["start"]] += 1
+                            change[span["stop"] + window - 1] -= 1
+                    spans = list(zip(*(c.tolist() for c in stretches(np.cumsum(change[:-1]) > 0))))
                 at, kept = 0, []
                 for a, b in [*spans, (len(words), None)]:
                     kept += words[at:a]
@@ -259,5 +314,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ["doc_id", "n_words", "removed", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts.join(gone, "key", "left").select("doc_id", "text", "check", "gone").mapInArrow(
+    return texts.join(_gone(windows), "key", "left").select("doc_id", "text", "check", "single", "many").mapInArrow(
         run, f"doc_id {kind}, n_words long, removed array<struct<start:long,end:long>>, kept string")
