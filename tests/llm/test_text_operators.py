@@ -220,15 +220,19 @@ def test_leaks_are_found_whatever_their_dress(documents):
     assert set(got) == want | {(502, 1)} and got.count((502, 1)) == 2
 
 
-def test_basis_holds_the_passages(documents):
+def test_basis_holds_the_passages(spark):
     """The randomised SVD of few passages spans them all, so cosines in it are exact."""
     rng = random.Random(8)
-    items = documents([(k, prose(rng, 30)) for k in range(40)])
+    passages = [leaks.words_of(prose(rng, 30)) for _ in range(40)]
+    cut = spark.createDataFrame([(k % 2, b" ".join(p)) for k, p in enumerate(passages)], "part long, words binary")
     idf = np.ones(leaks.FEATURES, np.float32)
-    basis = leaks.latent_basis(items, idf)
-    for r in items.collect():
-        used, values = leaks.unit_row(leaks.Hashed().of(leaks.words_of(r.text)), idf)
-        assert abs(np.linalg.norm(values @ basis[used]) - 1) < 1e-3
+    bases = leaks.latent_bases(cut, idf)
+    assert sorted(bases) == [0, 1]
+    for k, passage in enumerate(passages):
+        held, basis = bases[k % 2]
+        used, values, _ = leaks.row_and_length(leaks.Hashed().of(passage), idf)
+        assert set(used) <= set(held)
+        assert abs(np.linalg.norm(values @ basis[np.searchsorted(held, used)]) - 1) < 1e-3
 
 
 def test_common_subsequence_equals_dynamic_programming():
