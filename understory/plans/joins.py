@@ -61,11 +61,11 @@ def sample_grid_points(t):
     return rounded(A.sample_grid(t.pixels.select(*CELL, "rh"), "rh", 500, CELL, CELL, seed=42))
 
 
-@query("gedi_points_vs_reference", f"""WITH c AS (SELECT region, patch_num, row AS prow, col AS pcol, rh, 35.0::DOUBLE - (row + 0.5::DOUBLE) * 0.015625::DOUBLE AS lat,
+@query("points_vs_reference_same_system", f"""WITH c AS (SELECT region, patch_num, row AS prow, col AS pcol, rh, 35.0::DOUBLE - (row + 0.5::DOUBLE) * 0.015625::DOUBLE AS lat,
    134.0::DOUBLE + (col + 0.5::DOUBLE) * 0.015625::DOUBLE AS lon FROM pixels WHERE rh > 0)
  SELECT patch_num, prow, pcol, {r('rh')} AS rh, value FROM c JOIN (SELECT * FROM reference_cells WHERE value <> -32767) rc ON c.region = rc.region
  AND rc.row = CAST(floor((35.0::DOUBLE - lat) / 0.015625::DOUBLE) AS INT) AND rc.col = CAST(floor((lon - 134.0::DOUBLE) / 0.015625::DOUBLE) AS INT)""")
-def gedi_points_vs_reference(t):
+def points_vs_reference_same_system(t):
     cells = t.pixels.where(F.col("rh") > 0).select(
         "region", "patch_num", F.col("row").alias("prow"), F.col("col").alias("pcol"), "rh",
         (F.lit(35.0) - (F.col("row") + 0.5) * RES).alias("latitude"), (F.lit(134.0) + (F.col("col") + 0.5) * RES).alias("longitude"))
@@ -111,12 +111,12 @@ def resample_average(t):
     return rounded(R.average_to_grid(cells, CELL, "reference_height"))
 
 
-@query("resample_bilinear", f"""WITH f AS (SELECT fid, region, (35.0::DOUBLE - latitude) / 0.015625::DOUBLE - 0.5::DOUBLE AS fy, (longitude - 134.0::DOUBLE) / 0.015625::DOUBLE - 0.5::DOUBLE AS fx FROM footprints),
+@query("interpolate_points", f"""WITH f AS (SELECT fid, region, (35.0::DOUBLE - latitude) / 0.015625::DOUBLE - 0.5::DOUBLE AS fy, (longitude - 134.0::DOUBLE) / 0.015625::DOUBLE - 0.5::DOUBLE AS fx FROM footprints),
  k AS (SELECT fid, region, CAST(floor(fy) + dy AS INT) AS row, CAST(floor(fx) + dx AS INT) AS col,
    (CASE WHEN dy = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) * (CASE WHEN dx = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) AS w
    FROM f, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dy, dx))
  SELECT region, fid, {r('sum(value * w) / sum(w)')} AS value FROM k JOIN (SELECT * FROM reference_cells WHERE value <> -32767) c USING (region, row, col) WHERE w > 0 GROUP BY region, fid""")
-def resample_bilinear(t):
+def interpolate_points(t):
     targets = t.footprints.select("fid", "region", ((F.lit(35.0) - F.col("latitude")) / RES - 0.5).alias("fy"),
                                   ((F.col("longitude") - 134.0) / RES - 0.5).alias("fx"))
     cells = t.reference_cells.where(F.col("value") != -32767.0)

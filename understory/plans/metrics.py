@@ -272,14 +272,14 @@ def baseline_delta(t):
     return rounded(M.baseline_delta(mine, baseline, "region"))
 
 
-@query("crs_eval_metrics", f"""WITH ok AS (SELECT *, count(*) OVER (PARTITION BY patch_num) AS _n FROM pixels
+@query("patch_eval_same_grid", f"""WITH ok AS (SELECT *, count(*) OVER (PARTITION BY patch_num) AS _n FROM pixels
    WHERE pred > 0 AND pred < 100 AND reference_height > 0 AND reference_height < 100),
  kept AS (SELECT * FROM ok WHERE _n > 50)
  SELECT region, {eval_sql('reference_height', 'pred')}, {r(rmse_sql('reference_height', 'pred') + ' / avg(reference_height) * 100')} AS relative_rmse,
  {r('min(pred)')} AS pred_min, {r('max(pred)')} AS pred_max, {r('min(reference_height)')} AS ref_min,
  {r('max(reference_height)')} AS ref_max, count(DISTINCT patch_num) AS n_patches
  FROM kept GROUP BY region HAVING count(*) > 10""")
-def crs_eval_metrics(t):
+def patch_eval_same_grid(t):
     from understory.operators.evaluation import pooled_patch_metrics
     return rounded(pooled_patch_metrics(t.pixels, "reference_height", "pred", "patch_num", ["region"]))
 

@@ -11,7 +11,7 @@ from understory.plans.views import with_views
 from understory.sources.standin import Tables
 
 MODULES = ["metrics", "projections", "aggregations", "joins", "textures", "windows", "neighbourhoods",
-           "scalars", "sources", "streams", "models"]
+           "scalars", "sources", "streams", "models", "warps"]
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}

@@ -89,6 +89,11 @@ VIEWS: dict[str, str] = {
       FROM (SELECT {region_sql('l_suppkey')} AS region, CAST(l_orderkey % 64 AS INT) AS row,
             CAST(l_partkey % 64 AS INT) AS col, arg_min(l_quantity, {FID}) AS v
             FROM lineitem GROUP BY 1, 2, 3)""",
+    "patch_grids": f"""SELECT DISTINCT {region_sql('l_suppkey')} AS region, l_suppkey AS patch_num, 32653 AS code,
+      (l_suppkey % 10) * 1900.0::DOUBLE + 770000.0::DOUBLE AS "left", 3880000.0::DOUBLE - (l_suppkey // 10) * 1900.0::DOUBLE AS top,
+      CASE WHEN l_suppkey % 4 = 0 THEN 12.0::DOUBLE ELSE 30.0::DOUBLE END AS res, 64 AS rows, 64 AS cols FROM lineitem""",
+    "reference_grids": """SELECT DISTINCT region, 32654 AS code, 220000.0::DOUBLE AS "left", 3884000.0::DOUBLE AS top,
+      800.0::DOUBLE AS res, 64 AS rows, 64 AS cols FROM reference_cells""",
     "observations": f"""SELECT {FID} AS obs_id, l_suppkey * 16 + l_partkey % 16 AS px,
       'S2_' || (l_orderkey % 500) AS scene_id, l_shipdate AS ts,
       CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month,

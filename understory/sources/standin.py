@@ -151,6 +151,23 @@ class Tables:
             .otherwise(F.col("v")).alias("value"),
             F.when((F.col("row") + F.col("col")) % 3 != 0, 1).otherwise(0).alias("mask"))
 
+    @cached_property
+    def patch_grids(self) -> DataFrame:
+        """A grid of 64 x 64 cells for each patch in zone 53, side by side near the zone's edge; every fourth has cells too small
+        for ten of 100 m on a side."""
+        order = F.col("patch_num")
+        return self.lineitem.select(F.col("l_suppkey").alias("patch_num")).distinct().select(
+            _region(order).alias("region"), "patch_num", F.lit(32653).alias("code"),
+            (F.pmod(order, F.lit(10)) * 1900.0 + 770000.0).alias("left"), (3880000.0 - F.floor(order / 10) * 1900.0).alias("top"),
+            F.when(order % 4 == 0, 12.0).otherwise(30.0).alias("res"), F.lit(64).alias("rows"), F.lit(64).alias("cols"))
+
+    @cached_property
+    def reference_grids(self) -> DataFrame:
+        """The grid of each region's reference cells, in zone 54; three rows, the regions."""
+        return self.lineitem.select(_region(F.col("l_suppkey")).alias("region")).distinct().select(
+            "region", F.lit(32654).alias("code"), F.lit(220000.0).alias("left"), F.lit(3884000.0).alias("top"),
+            F.lit(800.0).alias("res"), F.lit(64).alias("rows"), F.lit(64).alias("cols"))
+
     @cached_property
     def observations(self) -> DataFrame:
         """Scene observations per pixel over 1995-2001."""
