@@ -8,13 +8,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from understory.functions.projection import reproject
 
 #: Cells on a side of a tile.
-TILE = 32
+TILE = 64
 #: Points on each side of a box that is carried into another system, its corners among them.
 EDGE = 22
 
@@ -93,13 +93,15 @@ def packed(cells: DataFrame, keys: Sequence[str], value: str, margin: int = 1) -
             .withColumn("_tr", F.explode(near("row"))).withColumn("_tc", F.explode(near("col"))))
     kinds = dict(held.dtypes)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, tile: pa.Table) -> pa.Table:
         grid = np.full((side, side), np.nan)
-        grid[pdf["row"].to_numpy() - int(key[-2]) * TILE, pdf["col"].to_numpy() - int(key[-1]) * TILE] = pdf["_v"].to_numpy()
-        return pd.DataFrame([[*key, grid.ravel()]], columns=[*keys, "_tr", "_tc", "_cells"])
+        row, col, v = (tile.column(c).to_numpy() for c in ("row", "col", "_v"))
+        grid[row - key[-2].as_py() * TILE, col - key[-1].as_py() * TILE] = v
+        own = {n: pa.array([k.as_py()], k.type) for n, k in zip((*keys, "_tr", "_tc"), key)}
+        return pa.table({**own, "_cells": pa.ListArray.from_arrays(pa.array([0, side * side], pa.int32()), pa.array(grid.ravel()))})
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _tr int, _tc int, _cells array<double>"
-    return held.groupBy(*keys, "_tr", "_tc").applyInPandas(run, schema)
+    return held.groupBy(*keys, "_tr", "_tc").applyInArrow(run, schema)
 
 
 def gather(cells: DataFrame, targets: DataFrame, keys: Sequence[str], ids: Sequence[str], value: str) -> DataFrame:

@@ -12,6 +12,7 @@ from understory.plans.metrics import eval_sql, rmse_sql
 from understory.plans.registry import query
 from understory.plans.shape import rounded
 from understory.plans.views import r
+from understory.session import written
 
 
 # ---- pieces of check SQL ----------------------------------------------------------
@@ -125,4 +126,4 @@ def resample_bilinear(t):
  FROM kept GROUP BY region HAVING count(*) > 10""")
 def crs_eval_metrics(t):
     """Accuracy on the common grids: patches with more than 50 valid cells, more than 10 in all."""
-    return rounded(pooled_patch_metrics(grid_pairs(t), "value", "pred", "patch_num", ["region"]))
+    return rounded(pooled_patch_metrics(written(grid_pairs(t), "grid-pairs"), "value", "pred", "patch_num", ["region"]))
