@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from understory.functions import exprs as X, names as NM
-from understory.operators import bands as B, grids as GR, neighbourhood as N, sampling as S
+from understory.operators import bands as B, grids as GR, neighbourhood as N, sampling as S, tiles
 
 
 def value(spark, expr):
@@ -101,7 +101,7 @@ def test_texture_of_a_flat_patch(spark):
 
 
 def test_focal_mean_across_tiles_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(N, "TILE", 5)
+    monkeypatch.setattr(tiles, "TILE", 5)
     cells = [(r, c, float((r * 31 + c * 17) % 23)) for r in range(13) for c in range(12) if (r * c) % 7 != 3]
     df = spark.createDataFrame([(1, *x) for x in cells], "grid int, row int, col int, v double")
     got = {(x.row, x.col): x.v_filtered for x in N.focal_mean(df, ["grid"], ["v"], 2).collect()}

@@ -67,11 +67,11 @@ def test_best_shift_is_never_worse_than_none(spark):
     moved = px.select("patch_num", "row", "col", "pred", F.lit(None).cast("double").alias("t0"))
     target = px.select("patch_num", (F.col("row") + 1).alias("row"), "col", F.col("pred").alias("rh"))
     px = moved.join(target, ["patch_num", "row", "col"], "left")
-    losses = A.shift_losses(A.shift_pairs(px, "rh", "pred", A.square_shifts(1), 12))
+    losses = A.shift_losses(A.shift_sums(px, "rh", "pred", A.square_shifts(1), 12))
     best = A.best_shift_loss(px, losses).first()
     assert best.loss == pytest.approx(0) and (best.dx, best.dy) == (0, -1)
     none = px.where(F.lit(False)).select("patch_num", "row", "col", "pred", "rh")
-    assert A.best_shift_loss(px, A.shift_losses(A.shift_pairs(none, "rh", "pred", A.square_shifts(1), 12))).first().loss == 10.0
+    assert A.best_shift_loss(px, A.shift_losses(A.shift_sums(none, "rh", "pred", A.square_shifts(1), 12))).first().loss == 10.0
 
 
 def test_split_is_disjoint_by_patch(spark):

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from understory.functions import stats
 from understory.functions.exprs import HASH_RANGE, between, cell_col, cell_row, drop_codes, sample_hash
 from understory.operators.metrics import sigma_filter_pair
 from understory.operators.order import number_by_hash
+from understory.operators.tiles import CELL, TILE, field, spread
 from understory.operators.training import gate
 
 
@@ -125,39 +127,64 @@ def disc_shifts(radius: int) -> list[tuple[int, int]]:
     return [(dx, dy) for dx, dy in square_shifts(radius) if dx * dx + dy * dy <= radius * radius]
 
 
-def _shifted(df: DataFrame, shifts: Sequence[tuple[int, int]], size: int, wrap: bool) -> DataFrame:
-    """Rows moved by every offset; the offset list is a literal, so this is a map-side explode."""
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in shifts])
-    moved = df.withColumn("_o", F.explode(offsets)).withColumns({"dx": F.col("_o.dx"), "dy": F.col("_o.dy")})
-    row, col = F.col("row") + F.col("dy"), F.col("col") + F.col("dx")
-    if wrap:
-        row, col = F.pmod(row, F.lit(size)), F.pmod(col, F.lit(size))
-    moved = moved.withColumns({"row": row, "col": col}).drop("_o")
-    if wrap:
-        return moved
-    return moved.where(F.col("row").between(0, size - 1) & F.col("col").between(0, size - 1))
-
-
-def shift_pairs(px: DataFrame, target: str, pred: str, shifts: Sequence[tuple[int, int]], size: int,
-                wrap: bool = False, patch: str = "patch_num") -> DataFrame:
-    """Targets moved by each offset, paired with the prediction of the cell they reach.
+def shift_sums(px: DataFrame, target: str, pred: str, shifts: Sequence[tuple[int, int]], size: int, wrap: bool = False,
+               bound: float | None = None, keep: Column | None = None, patch: str = "patch_num") -> DataFrame:
+    """``patch, dx, dy``: targets moved by each shift against the predictions they reach, as count and sums.
 
-    Targets are sparse and are filtered before they are multiplied.
+    A sparse cross-correlation inside tiles with a margin of the longest shift: a cell travels once, near a tile's edge
+    also to the next tiles, and only a tile's own targets look around. With ``wrap`` the patch of ``size`` cells on a side
+    is closed to a ring both ways; otherwise what leaves it is lost. ``bound`` limits difference and loss; ``keep``
+    tells the targets that count, by default those in (0, 100).
     """
-    targets = px.where(between(target, 0, 100, high_open=True)).select(patch, "row", "col", F.col(target).alias("target"))
-    preds = px.where(F.col(pred).isNotNull()).select(patch, "row", "col", F.col(pred).alias("pred"))
-    return _shifted(targets, shifts, size, wrap).join(preds, [patch, "row", "col"])
-
-
-def shift_losses(pairs: DataFrame, patch: str = "patch_num", bound: float | None = 1000.0) -> DataFrame:
+    reach = max(max(abs(dx), abs(dy)) for dx, dy in shifts)
+    counts = between(target, 0, 100, high_open=True) if keep is None else keep
+    cells = px.select(patch, "row", "col", F.when(counts, F.col(target).cast("double")).alias("_t"), F.col(pred).cast("double").alias("_p"))
+    cells = cells.where(F.col("_t").isNotNull() | F.col("_p").isNotNull())
+    if wrap:
+        for c in CELL:
+            ring = F.array_compact(F.array(F.struct(F.col(c).alias("at"), F.col("_t").alias("t")), *[
+                F.when(edge, F.struct((F.col(c) + move).cast("int").alias("at"), F.lit(None).cast("double").alias("t")))
+                for edge, move in ((F.col(c) < reach, size), (F.col(c) >= size - reach, -size))]))
+            cells = cells.withColumn("_c", F.explode(ring)).withColumns({c: F.col("_c.at"), "_t": F.col("_c.t")}).drop("_c")
+    else:
+        cells = cells.where(F.col("row").between(0, size - 1) & F.col("col").between(0, size - 1))
+    cells = spread(cells, reach, TILE)
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        row, col = (t.column(c).to_numpy().astype(np.int64) for c in CELL)
+        wanted, found = field(t, "_t"), field(t, "_p")
+        top, left = key[-2].as_py() * TILE, key[-1].as_py() * TILE
+        own = ~np.isnan(wanted) & (row >= top) & (row < top + TILE) & (col >= left) & (col < left + TILE)
+        r, c = row - row.min() + reach, col - col.min() + reach
+        grid = np.full((int(r.max()) + reach + 1, int(c.max()) + reach + 1), np.nan)
+        held = ~np.isnan(found)
+        grid[r[held], c[held]] = found[held]
+        r, c, wanted = r[own], c[own], wanted[own]
+        rows = []
+        for dx, dy in shifts if len(wanted) else []:
+            met = grid[r + dy, c + dx]
+            good = ~np.isnan(met)
+            if good.any():
+                d = np.abs(met[good] - wanted[good])
+                d = d if bound is None else np.minimum(d, bound)
+                loss = np.where(d < 1, 0.5 * d * d, d - 0.5)
+                loss = loss if bound is None else np.minimum(loss, bound)
+                rows.append((dx, dy, int(good.sum()), wanted[good].sum(), met[good].sum(), loss.sum()))
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*rows) if rows else [[]] * 6, SHIFT_TYPES)]
+        return pa.table([pa.repeat(key[0], len(rows)), *columns], names=[patch, *SHIFT_COLUMNS])
+
+    kind = dict(px.dtypes)[patch]
+    part = cells.groupBy(patch, "_tr", "_tc").applyInArrow(run, f"`{patch}` {kind}, dx int, dy int, n long, target_sum double, pred_sum double, loss_sum double")
+    return part.groupBy(patch, "dx", "dy").agg(*[F.sum(c).alias(c) for c in SHIFT_COLUMNS[2:]])
+
+
+SHIFT_COLUMNS = ["dx", "dy", "n", "target_sum", "pred_sum", "loss_sum"]
+SHIFT_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+
+
+def shift_losses(sums: DataFrame, patch: str = "patch_num") -> DataFrame:
     """Mean Huber loss per (patch, shift)."""
-    d = F.col("pred") - F.col("target")
-    if bound is not None:
-        d = F.least(F.abs(d), F.lit(bound))
-    loss = stats.smooth_l1(d)
-    if bound is not None:
-        loss = F.least(loss, F.lit(bound))
-    return pairs.groupBy(patch, "dx", "dy").agg(F.avg(loss).alias("loss"), F.count(F.lit(1)).alias("n_pairs"))
+    return sums.select(patch, "dx", "dy", (F.col("loss_sum") / F.col("n")).alias("loss"), F.col("n").alias("n_pairs"))
 
 
 def best_shift_loss(px: DataFrame, losses: DataFrame, fallback: float = 10.0, patch: str = "patch_num") -> DataFrame:
@@ -174,11 +201,8 @@ def rolled_prediction_loss(px: DataFrame, target: str, pred: str, radius: int, s
     """Predictions roll around the patch edge while targets stay: mean of patch means per
     shift, smallest shift, 0 without targets. Rolling predictions by (dx, dy) equals
     moving targets by (-dx, -dy), so the sparse side is the one that is multiplied."""
-    targets = px.where(between(target, 0)).select(patch, "row", "col", F.col(target).alias("target"))
-    preds = px.where(F.col(pred).isNotNull()).select(patch, "row", "col", F.col(pred).alias("pred"))
     back = [(-dx, -dy) for dx, dy in square_shifts(radius)]
-    pairs = _shifted(targets, back, size, wrap=True).join(preds, [patch, "row", "col"])
-    per = shift_losses(pairs, patch, bound=None)
+    per = shift_losses(shift_sums(px, target, pred, back, size, wrap=True, keep=between(target, 0), patch=patch), patch)
     return (per.groupBy("dx", "dy").agg(F.avg("loss").alias("loss"))
             .agg(F.coalesce(F.min("loss"), F.lit(0.0)).alias("loss")))
 

@@ -1,23 +1,14 @@
-"""Moving windows on pixel grids.
-
-A neighbourhood is built by sending each cell's value to the cells around it (a map-side
-explode over a literal list of offsets) and grouping by the receiving cell, so one
-partially aggregated shuffle replaces a self join.
-"""
+"""Moving windows on pixel grids, over tiles with a margin: a cell travels once, not once for each neighbour."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from understory.functions.exprs import ColumnLike, as_col
-from understory.operators.order import exact_medians
-
-CELL = ("row", "col")
+from understory.operators.tiles import CELL, by_tiles, window_statistics
 
 
 def offsets(radius: int) -> list[tuple[int, int]]:
@@ -25,107 +16,48 @@ def offsets(radius: int) -> list[tuple[int, int]]:
     return [(dy, dx) for dy in span for dx in span]
 
 
-def spread(df: DataFrame, keys: Sequence[str], values: Sequence[str], moves: Sequence[tuple[int, int]]) -> DataFrame:
-    """Each row once per move, with ``row``/``col`` of the receiving cell and the move itself."""
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in moves])
-    sent = df.select(*keys, *CELL, *values, F.explode(steps).alias("_s"))
-    return sent.select(*keys, (F.col("row") + F.col("_s.dy")).alias("row"), (F.col("col") + F.col("_s.dx")).alias("col"),
-                       *values, F.col("_s.dy").alias("dy"), F.col("_s.dx").alias("dx"))
-
-
-def window_moments(df: DataFrame, keys: Sequence[str], value: str, radius: int) -> DataFrame:
-    """Mean and population variance around every existing cell, with the cell's own value."""
-    sent = spread(df.where(F.col(value).isNotNull()), keys, [value], offsets(radius))
-    here = (F.col("dy") == 0) & (F.col("dx") == 0)
-    return (sent.groupBy(*keys, *CELL).agg(
-        F.avg(value).alias("w_mean"), F.var_pop(value).alias("w_var"), F.count(F.lit(1)).alias("w_n"),
-        F.max(F.when(here, F.col(value))).alias(value)).where(F.col(value).isNotNull()))
-
-
-TILE = 256
-
-
-def _tiles(position: str, radius: int) -> Column:
-    """Tiles whose cells, grown by the radius, hold this position, within the grid's own tiles."""
-    def tile(c: Column) -> Column:
-        return F.floor(c / TILE).cast("int")
-
-    first, last = (tile(F.col(f"_{end}_{position}")) for end in ("min", "max"))
-    return F.sequence(F.greatest(first, tile(F.col(position) - radius)), F.least(last, tile(F.col(position) + radius)))
-
-
-def _box_means(pdf: pd.DataFrame, top: int, left: int, bands: Sequence[str], radius: int) -> pd.DataFrame:
-    """Square means of the cells of one tile from the tile's cells and their surroundings."""
-    bands = list(bands)
-    row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-    own = (row >= top) & (row < top + TILE) & (col >= left) & (col < left + TILE)
-    r, c = row - row.min() + radius, col - col.min() + radius
-    shape = (int(r.max()) + radius + 1, int(c.max()) + radius + 1)
-
-    def box(values: np.ndarray) -> np.ndarray:
-        grid = np.zeros(shape)
-        np.add.at(grid, (r, c), values)
-        reach = range(2 * radius + 1)
-        rows = sum(grid[d:shape[0] - 2 * radius + d] for d in reach)
-        whole = sum(rows[:, d:shape[1] - 2 * radius + d] for d in reach)
-        return whole[r[own] - radius, c[own] - radius]
-
-    out = pdf.loc[own, [k for k in pdf.columns if k not in (*bands, "_tr", "_tc")]].copy()
-    for b in bands:
-        held = pdf[b].notna().to_numpy()
-        count = box(held.astype(float))
-        out[f"{b}_filtered"] = np.where(count > 0, box(pdf[b].fillna(0.0).to_numpy()) / np.maximum(count, 1), np.nan)
-    return out
-
-
 def focal_mean(df: DataFrame, keys: Sequence[str], bands: Sequence[str], radius: int = 3) -> DataFrame:
-    """Square mean around every cell.
+    """Square mean around every cell, from summed-area tables of tiles."""
+    def compute(grids: dict[str, np.ndarray], r: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
+        out = {}
+        for b, grid in grids.items():
+            n, mean, _ = window_statistics(grid, radius)
+            out[f"{b}_filtered"] = np.where(n > 0, mean, np.nan)[r, c]
+        return out
 
-    Spark groups cells into square tiles with a margin, so a cell travels once (up to four
-    times near tile corners) instead of once per neighbour; a tile holds a bounded number
-    of cells and is summed with numpy.
-    """
-    extent = df.groupBy(*keys).agg(*[f(c).alias(f"_{n}_{c}") for c in CELL for n, f in (("min", F.min), ("max", F.max))])
-    cells = (df.select(*keys, *CELL, *[F.col(b).cast("double").alias(b) for b in bands]).join(extent, list(keys))
-             .withColumn("_tr", F.explode(_tiles("row", radius))).withColumn("_tc", F.explode(_tiles("col", radius)))
-             .select(*keys, *CELL, *bands, "_tr", "_tc"))
-    names = [f"{b}_filtered" for b in bands]
-    schema = StructType([*[f for f in cells.schema.fields if f.name in (*keys, *CELL)],
-                         *[StructField(n, DoubleType()) for n in names]])
+    return by_tiles(df, keys, bands, radius, compute, [f"{b}_filtered" for b in bands])
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _box_means(pdf, int(key[-2]) * TILE, int(key[-1]) * TILE, bands, radius)
 
-    out = cells.groupBy(*keys, "_tr", "_tc").applyInPandas(run, schema)
-    return out.select(*keys, *CELL, *[F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in names])
+def gamma_map(df: DataFrame, keys: Sequence[str], value: str, kernel: int, enl: float) -> DataFrame:
+    """Speckle filter: window mean and own value weighted by the window's variation, from summed-area tables of tiles.
 
+    Cells without a value get none and have no row.
+    """
+    def compute(grids: dict[str, np.ndarray], r: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
+        own = grids[value][r, c]
+        _, mean, var = (x[r, c] for x in window_statistics(grids[value], kernel // 2))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            inverse = mean * mean / var
+            weight = np.where(var > 0, np.where(np.isinf(inverse), 1.0, inverse / (inverse + enl)), 1.0)
+        return {value: mean * weight + own * (1 - weight)}
 
-def gamma_map(df: DataFrame, keys: Sequence[str], value: str, kernel: int, enl: float) -> DataFrame:
-    """Speckle filter: window mean and own value weighted by the window's variation."""
-    m = window_moments(df, keys, value, kernel // 2)
-    inverse = F.when(F.col("w_var") > 0, F.col("w_mean") * F.col("w_mean") / F.when(F.col("w_var") > 0, F.col("w_var")))
-    weight = F.coalesce(inverse / (inverse + F.lit(enl)), F.lit(1.0))
-    return m.select(*keys, *CELL, (F.col("w_mean") * weight + F.col(value) * (1 - weight)).alias(value))
+    return by_tiles(df, keys, [value], kernel // 2, compute, [value], empty=False)
 
 
 def slope_aspect(df: DataFrame, keys: Sequence[str], elevation: str, cell_size: float) -> DataFrame:
     """Slope and aspect in degrees from the eight neighbours; only cells that have all of them."""
-    sent = spread(df.where(F.col(elevation).isNotNull()), keys, [elevation], offsets(1))
+    def compute(grids: dict[str, np.ndarray], r: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
+        z = {(dy, dx): grids[elevation][r + dy, c + dx] for dy, dx in offsets(1)}
+        east = ((z[-1, 1] + 2 * z[0, 1] + z[1, 1]) - (z[-1, -1] + 2 * z[0, -1] + z[1, -1])) / (8 * cell_size)
+        south = ((z[1, -1] + 2 * z[1, 0] + z[1, 1]) - (z[-1, -1] + 2 * z[-1, 0] + z[-1, 1])) / (8 * cell_size)
+        whole = ~np.isnan(sum(z.values()))
+        slope = np.degrees(np.arctan(np.sqrt(east * east + south * south)))
+        # downslope direction clockwise from north
+        aspect = np.where(slope > 0, np.mod(np.degrees(np.arctan2(-east, south)) + 360.0, 360.0), 0.0)
+        return {n: np.where(whole, v, np.nan) for n, v in (("_z", z[0, 0]), ("slope", slope), ("aspect", aspect))}
 
-    def at(dy: int, dx: int) -> Column:  # value of the neighbour at (row + dy, col + dx)
-        return F.max(F.when((F.col("dy") == -dy) & (F.col("dx") == -dx), F.col(elevation)))
-
-    grid = sent.groupBy(*keys, *CELL).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[at(dy, dx).alias(f"z{dy + 1}{dx + 1}") for dy, dx in offsets(1)]).where(F.col("_n") == 9)
-    z = {(dy, dx): F.col(f"z{dy + 1}{dx + 1}") for dy, dx in offsets(1)}
-    east = ((z[-1, 1] + 2 * z[0, 1] + z[1, 1]) - (z[-1, -1] + 2 * z[0, -1] + z[1, -1])) / (8 * cell_size)
-    south = ((z[1, -1] + 2 * z[1, 0] + z[1, 1]) - (z[-1, -1] + 2 * z[-1, 0] + z[-1, 1])) / (8 * cell_size)
-    slope = F.degrees(F.atan(F.sqrt(east * east + south * south)))
-    # downslope direction clockwise from north
-    aspect = F.pmod(F.degrees(F.atan2(-east, south)) + 360.0, F.lit(360.0))
-    return grid.select(*keys, *CELL, z[0, 0].alias(elevation), slope.alias("slope"),
-                       F.when(slope > 0, aspect).otherwise(0.0).alias("aspect"))
+    found = by_tiles(df, keys, [elevation], 1, compute, ["_z", "slope", "aspect"], empty=False)
+    return found.withColumnRenamed("_z", elevation)
 
 
 def terrain_factor(angle: ColumnLike, slope: ColumnLike, aspect: ColumnLike, ascending: Column) -> Column:
@@ -137,63 +69,82 @@ def terrain_factor(angle: ColumnLike, slope: ColumnLike, aspect: ColumnLike, asc
 
 
 GLCM_STEPS = [(0, 1), (1, 0), (1, 1), (1, -1)]
+#: Cells on a side of a texture tile: all bands of its cells are in memory at once.
+TEXTURE_TILE = 64
 GLCM_MEASURES = ["asm", "contrast", "corr", "var", "idm", "savg", "ent", "dvar"]
 
 
+def _texture(levels: np.ndarray, r: np.ndarray, c: np.ndarray, half: int) -> np.ndarray:
+    """The measures (rows in the order of ``GLCM_MEASURES``) of the windows around the places; levels are -1 where there is none.
+
+    A window's pairs of one direction lie in fixed slots, the same for all windows: entering and leaving pairs need no
+    search. How often a pair comes is the number of slots that hold its like.
+    """
+    total, ways = np.zeros((len(GLCM_MEASURES), len(r))), np.zeros(len(r))
+    for dy, dx in GLCM_STEPS:
+        span_y, span_x = range(max(-half, -half - dy), min(half, half - dy) + 1), range(max(-half, -half - dx), min(half, half - dx) + 1)
+        slots = [(levels[r + y, c + x], levels[r + y + dy, c + x + dx]) for y in span_y for x in span_x]
+        i, j = (np.array(side, np.int64) for side in zip(*slots))
+        held = (i >= 0) & (j >= 0)
+        code = np.where(held, np.minimum(i, j) * 256 + np.maximum(i, j), -1)
+        like = np.zeros(code.shape)
+        for one in code:
+            like += code == one
+        n = 2.0 * held.sum(axis=0)
+        some = n > 0
+        size = np.maximum(n, 1)
+        same = i == j
+
+        def mean(values: np.ndarray) -> np.ndarray:
+            return np.where(held, values, 0.0).sum(axis=0) / size
+
+        # Both orders of a pair count: two entries of the matrix, or one entry twice on its diagonal.
+        squares = mean(np.where(same, 4.0, 2.0) * like)
+        logs = mean(2.0 * np.log(np.where(same, 2.0, 1.0) * np.maximum(like, 1)))
+        level = mean(i + j)
+        var = mean(i * i + j * j) - level * level
+        cov = mean(2.0 * i * j) - level * level
+        far = 2.0 * (i - j) ** 2
+        contrast = mean(far)
+        corr = np.where(var > 1e-12, cov / np.where(var > 1e-12, var, 1.0), 0.0)
+        part = np.array([squares / size, contrast, corr, var, mean(2.0 / (1.0 + (i - j) ** 2)), 2.0 * level, np.log(size) - logs,
+                         contrast - mean(2.0 * np.abs(i - j)) ** 2])
+        total += np.where(some, part, 0.0)
+        ways += some
+    own = (levels[r, c] >= 0) & (ways > 0)
+    return np.where(own, total / np.maximum(ways, 1), np.nan)
+
+
+def _levels(grid: np.ndarray) -> np.ndarray:
+    """Values in [-1, 1] as 0..255, -1 where there is none."""
+    return np.where(np.isnan(grid), -1, np.trunc((np.nan_to_num(grid) + 1.0) * 127.5)).astype(np.int64)
+
+
 def glcm(df: DataFrame, keys: Sequence[str], bands: Sequence[str], window: int = 3) -> DataFrame:
     """(keys, row, col, band, measures): co-occurrence texture in a square window per band.
 
-    Values in [-1, 1] become 0..255. Neighbouring grey pairs are formed once per direction
-    and counted in every window that holds both cells; matrices are symmetric and measures
-    are averaged over the four directions. Pair counts stay long and sparse: a window holds
-    few pairs whatever the number of grey levels.
+    Values in [-1, 1] become 0..255; matrices are symmetric, and measures are averaged over the directions that have
+    pairs. A band without a value at a cell, or without any pair around it, has no row.
     """
-    half = window // 2
-    levels = df.select(*keys, *CELL, F.explode(F.array(*[
-        F.struct(F.lit(b).alias("band"), ((F.col(b) + 1.0) * 127.5).cast("int").alias("g")) for b in bands])).alias("_b")
-    ).select(*keys, *CELL, "_b.band", "_b.g").where(F.col("g").isNotNull())
-    group = [*keys, "band"]
-    steps = F.array(*[F.struct(F.lit(k).alias("d"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
-                      for k, (dy, dx) in enumerate(GLCM_STEPS)])
-    other = (levels.withColumn("_s", F.explode(steps))
-             .select(*group, (F.col("row") - F.col("_s.dy")).alias("row"), (F.col("col") - F.col("_s.dx")).alias("col"),
-                     F.col("_s.d").alias("d"), F.col("_s.dy").alias("dy"), F.col("_s.dx").alias("dx"), F.col("g").alias("g2")))
-    pairs = levels.withColumnRenamed("g", "g1").join(other, [*group, *CELL])
-    # windows that contain both ends: centre rows and columns between the two cells' reach
-    lo_r, hi_r = F.greatest(F.col("row"), F.col("row") + F.col("dy")) - half, F.least(F.col("row"), F.col("row") + F.col("dy")) + half
-    lo_c, hi_c = F.greatest(F.col("col"), F.col("col") + F.col("dx")) - half, F.least(F.col("col"), F.col("col") + F.col("dx")) + half
-    placed = (pairs.withColumn("_r", F.explode(F.sequence(lo_r, hi_r))).withColumn("_c", F.explode(F.sequence(lo_c, hi_c))))
-    cell = [*group, "_r", "_c", "d"]
-    both = placed.select(*cell, F.explode(F.array(
-        F.struct(F.col("g1").alias("i"), F.col("g2").alias("j")),
-        F.struct(F.col("g2").alias("i"), F.col("g1").alias("j")))).alias("_p")).select(*cell, "_p.i", "_p.j")
-    counts = both.groupBy(*cell, "i", "j").agg(F.count(F.lit(1)).alias("n"))
-    # sums p and d are symmetric in i and j; their distributions need their own counts
-    base = counts.groupBy(*cell).agg(
-        F.sum("n").alias("N"), F.sum(F.col("n") * F.col("n")).alias("_nn"),
-        F.sum(F.col("n") * F.col("i")).alias("_i"), F.sum(F.col("n") * F.col("i") * F.col("i")).alias("_ii"),
-        F.sum(F.col("n") * F.col("i") * F.col("j")).alias("_ij"),
-        F.sum(F.col("n") * F.pow(F.col("i") - F.col("j"), F.lit(2.0))).alias("_dd"),
-        F.sum(F.col("n") / (1.0 + F.pow(F.col("i") - F.col("j"), F.lit(2.0)))).alias("_idm"),
-        F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("_nlog"),
-        F.sum(F.col("n") * F.abs(F.col("i") - F.col("j"))).alias("_ad"))
-    n = F.col("N")
-    mean = F.col("_i") / n
-    var = F.col("_ii") / n - mean * mean
-    per = base.select(
-        *cell, (F.col("_nn") / (n * n)).alias("asm"), (F.col("_dd") / n).alias("contrast"),
-        F.when(var > 1e-12, (F.col("_ij") / n - mean * mean) / F.when(var > 1e-12, var)).otherwise(0.0).alias("corr"),
-        var.alias("var"), (F.col("_idm") / n).alias("idm"), (mean * 2.0).alias("savg"),
-        (F.log(n.cast("double")) - F.col("_nlog") / n).alias("ent"),
-        (F.col("_dd") / n - F.pow(F.col("_ad") / n, F.lit(2.0))).alias("dvar"))
-    own = levels.select(*group, F.col("row").alias("_r"), F.col("col").alias("_c"))
-    return (per.groupBy(*group, "_r", "_c").agg(*[F.avg(m).alias(m) for m in GLCM_MEASURES])
-            .join(own, [*group, "_r", "_c"], "left_semi").withColumnsRenamed({"_r": "row", "_c": "col"}))
-
-
-def across_bands(textures: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Mean and median over bands of each measure, per cell."""
-    cell = [*keys, *CELL]
-    means = textures.groupBy(*cell).agg(*[F.avg(m).alias(f"mean_{m}") for m in measures])
-    medians = exact_medians(textures, cell, measures).withColumnsRenamed({m: f"median_{m}" for m in measures})
-    return means.join(medians, cell)
+    names = [f"{m}_{k}" for k in range(len(bands)) for m in GLCM_MEASURES]
+
+    def compute(grids: dict[str, np.ndarray], r: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
+        return dict(zip(names, (row for b in bands for row in _texture(_levels(grids[b]), r, c, window // 2))))
+
+    wide = by_tiles(df, keys, bands, window // 2, compute, names, TEXTURE_TILE)
+    rows = F.array(*[F.struct(F.lit(b).alias("band"), *[F.col(f"{m}_{k}").alias(m) for m in GLCM_MEASURES]) for k, b in enumerate(bands)])
+    return wide.select(*keys, *CELL, F.inline(rows)).where(F.col(GLCM_MEASURES[0]).isNotNull())
+
+
+def band_textures(df: DataFrame, keys: Sequence[str], bands: Sequence[str], window: int = 3) -> DataFrame:
+    """Mean and median over the bands of each measure of :func:`glcm`, one row per cell; bands never become rows."""
+    names = [f"{stat}_{m}" for m in GLCM_MEASURES for stat in ("mean", "median")]
+
+    def compute(grids: dict[str, np.ndarray], r: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
+        found = np.array([_texture(_levels(grids[b]), r, c, window // 2) for b in bands])
+        some = ~np.isnan(found).all(axis=0)
+        filled = np.where(some, found, 0.0)
+        means, medians = (np.where(some, f(filled, axis=0), np.nan) for f in (np.nanmean, np.nanmedian))
+        return {f"{stat}_{m}": values[k] for k, m in enumerate(GLCM_MEASURES) for stat, values in (("mean", means), ("median", medians))}
+
+    return by_tiles(df, keys, bands, window // 2, compute, names, TEXTURE_TILE, empty=False)

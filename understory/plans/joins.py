@@ -233,9 +233,8 @@ LOSS = "(CASE WHEN d < 1 THEN 0.5::DOUBLE * d * d ELSE d - 0.5::DOUBLE END)"
 @query("shift_aware_join", f"""WITH {shift_sql(A.square_shifts(2), False)} SELECT patch_num, dx, dy, count(*) AS n, {r('sum(target)', 7)} AS target_sum, {r('sum(pred)', 7)} AS pred_sum
  FROM sp GROUP BY patch_num, dx, dy""")
 def shift_aware_join(t):
-    pairs = A.shift_pairs(t.pixels, "rh", "pred", A.square_shifts(2), 64)
-    return rounded(pairs.groupBy("patch_num", "dx", "dy").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("target").alias("target_sum"), F.sum("pred").alias("pred_sum")), 7)
+    sums = A.shift_sums(t.pixels, "rh", "pred", A.square_shifts(2), 64)
+    return rounded(sums.select("patch_num", "dx", "dy", "n", "target_sum", "pred_sum"), 7)
 
 
 @query("shift_aware_loss", f"""WITH {shift_sql(A.square_shifts(2), False)},
@@ -243,7 +242,7 @@ def shift_aware_join(t):
  b AS (SELECT patch_num, min(loss) AS loss, arg_min((dx, dy), (round(loss, 9), dx, dy)) AS s FROM l GROUP BY patch_num)
  SELECT p.patch_num, {r('coalesce(loss, 10)')} AS loss, s[1] AS dx, s[2] AS dy FROM (SELECT DISTINCT patch_num FROM pixels) p LEFT JOIN b USING (patch_num)""")
 def shift_aware_loss(t):
-    losses = A.shift_losses(A.shift_pairs(t.pixels, "rh", "pred", A.square_shifts(2), 64))
+    losses = A.shift_losses(A.shift_sums(t.pixels, "rh", "pred", A.square_shifts(2), 64, bound=1000.0))
     return rounded(A.best_shift_loss(t.pixels, losses))
 
 
@@ -251,7 +250,7 @@ def shift_aware_loss(t):
  l AS (SELECT patch_num, dx, dy, avg({LOSS}) AS loss FROM (SELECT *, abs(pred - target) AS d FROM sp) GROUP BY ALL)
  SELECT patch_num, {r('min(loss)')} AS loss FROM l GROUP BY patch_num""")
 def shift_aware_loss_disc(t):
-    losses = A.shift_losses(A.shift_pairs(t.pixels, "rh", "pred", A.disc_shifts(1), 64, wrap=True), bound=None)
+    losses = A.shift_losses(A.shift_sums(t.pixels, "rh", "pred", A.disc_shifts(1), 64, wrap=True))
     return rounded(losses.groupBy("patch_num").agg(F.min("loss").alias("loss")))
 
 

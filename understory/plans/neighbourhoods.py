@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from understory.functions import fixed
 from understory.operators import augment as G, neighbourhood as N, resample as R
 from understory.plans.registry import query
 from understory.plans.shape import rounded
@@ -54,8 +55,8 @@ def terrain_flatten(t):
     return rounded(terrain.select("region", "row", "col", factor.alias("factor"), (F.col("elevation") * factor).alias("corrected")))
 
 
-GL = """gv AS (SELECT patch_num, row, col, unnest(['A00', 'A01', 'A02', 'A03']) AS band, unnest([CAST(trunc((embedding[1] + 1.0::DOUBLE) * 127.5::DOUBLE) AS INT), CAST(trunc((embedding[2] + 1.0::DOUBLE) * 127.5::DOUBLE) AS INT),
-   CAST(trunc((embedding[3] + 1.0::DOUBLE) * 127.5::DOUBLE) AS INT), CAST(trunc((embedding[4] + 1.0::DOUBLE) * 127.5::DOUBLE) AS INT)]) AS g FROM embedding_pixels),
+GL = """gv AS (SELECT patch_num, row, col, 'A' || lpad(CAST(k AS VARCHAR), 2, '0') AS band, CAST(trunc((CAST(embedding[k + 1] AS DOUBLE) + 1.0::DOUBLE) * 127.5::DOUBLE) AS INT) AS g
+   FROM embedding_pixels, range(64) b(k)),
  dir AS (SELECT * FROM (VALUES (0, 0, 1), (1, 1, 0), (2, 1, 1), (3, 1, -1)) d(d, dy, dx)),
  pr AS (SELECT c.patch_num, c.row, c.col, c.band, dir.d, a.g AS i, b.g AS j FROM gv c JOIN gv a ON a.patch_num = c.patch_num AND a.band = c.band AND abs(a.row - c.row) <= 1 AND abs(a.col - c.col) <= 1
    CROSS JOIN dir JOIN gv b ON b.patch_num = a.patch_num AND b.band = a.band AND b.row = a.row + dir.dy AND b.col = a.col + dir.dx AND abs(b.row - c.row) <= 1 AND abs(b.col - c.col) <= 1),
@@ -72,9 +73,8 @@ GLCM_OUT = ", ".join(f"{r(f'avg({m}) + 1e-8', 6)} AS mean_{m}, {r(f'quantile_con
 
 @query("glcm_texture", f"WITH {GL} SELECT patch_num, row, col, {GLCM_OUT} FROM pb GROUP BY patch_num, row, col")
 def glcm_texture(t):
-    bands = ["A00", "A01", "A02", "A03"]
-    px = t.embedding_wide.select("patch_num", "row", "col", *bands)
-    out = N.across_bands(N.glcm(px, ["patch_num"], bands, 3), ["patch_num"], N.GLCM_MEASURES)
+    px = t.embedding_wide.select("patch_num", "row", "col", *fixed.EMBEDDING_BANDS)
+    out = N.band_textures(px, ["patch_num"], fixed.EMBEDDING_BANDS, 3)
     # the small offset keeps exact halves from rounding differently in two engines
     return rounded(out.select(*CELL, *[(F.col(c) + 1e-8).alias(c) for c in out.columns if c not in CELL]))
 
