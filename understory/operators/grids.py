@@ -15,20 +15,33 @@ def _steps(extent: Column, stride: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(extent / stride)).cast("long")
 
 
+#: Cells of a lattice that are made together.
+BLOCK = 4096
+
+
+def dealt_out(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt out before they are multiplied. The number is given, for few bytes here would be put into one task again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def stride_grid(boxes: DataFrame, size: float | Column, stride: float | Column) -> DataFrame:
-    """Lattice of boxes covering each row's bounds; two explodes, so every row expands on its
-    own. ``cell_no`` counts in generation order, x outside and y inside."""
+    """Lattice of boxes covering each row's bounds. ``cell_no`` counts in generation order, x outside and y inside.
+
+    A row becomes one row for each block of its cells; blocks are dealt out before they become cells, so that a
+    single large box is made by all tasks.
+    """
     size, stride = (F.lit(v) if isinstance(v, (int, float)) else v for v in (size, stride))
     nx = _steps(F.col("max_x") - F.col("min_x"), stride)
     ny = _steps(F.col("max_y") - F.col("min_y"), stride)
-    rows = (boxes.withColumns({"_nx": nx, "_ny": ny})
-            .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nx") - 1)))
-            .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ny") - 1))))
+    counted = boxes.withColumns({"_nx": nx, "_ny": ny}).withColumn("_n", F.col("_nx") * F.col("_ny"))
+    blocks = counted.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / BLOCK)))).withColumn("_b", F.col("_b") * BLOCK)
+    cells = (dealt_out(blocks, "_b", "min_x", "min_y", "max_x", "max_y")
+             .withColumn("cell_no", F.explode(F.sequence(F.col("_b"), F.least(F.col("_b") + BLOCK, F.col("_n")) - 1)))
+             .withColumns({"i": F.floor(F.col("cell_no") / F.col("_ny")), "j": F.col("cell_no") % F.col("_ny")}))
     x, y = F.col("min_x") + F.col("i") * stride, F.col("min_y") + F.col("j") * stride
-    return rows.withColumns({"_x": x, "_y": y, "cell_no": F.col("i") * F.col("_ny") + F.col("j"),
-                             "bound_x": F.col("max_x"), "bound_y": F.col("max_y")}).withColumns(
+    return cells.withColumns({"_x": x, "_y": y, "bound_x": F.col("max_x"), "bound_y": F.col("max_y")}).withColumns(
         {"min_x": F.col("_x"), "min_y": F.col("_y"), "max_x": F.col("_x") + size, "max_y": F.col("_y") + size}
-    ).drop("_x", "_y", "_nx", "_ny")
+    ).drop("_x", "_y", "_nx", "_ny", "_n", "_b")
 
 
 def patch_grid(boxes: DataFrame, scale: int = 10, overlap: float = 0.1, size: int | None = None) -> DataFrame:

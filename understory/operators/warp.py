@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from understory.functions.projection import reproject
+from understory.operators.grids import dealt_out
 
 #: Cells on a side of a tile.
 TILE = 64
@@ -69,7 +70,7 @@ def common_grids(grids: DataFrame, others: DataFrame, keys: Sequence[str], on: S
 def lattice(grids: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every cell ``t_row, t_col`` of common grids with its centre ``x, y``, rows of cells first, dealt out before their cells."""
     lines = grids.withColumn("t_row", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
-    cells = lines.repartition(*keys, "t_row").withColumn("t_col", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    cells = dealt_out(lines, *keys, "t_row").withColumn("t_col", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
     return cells.select(*keys, "code", "t_row", "t_col", (F.col("west") + (F.col("t_col") + 0.5) * F.col("dx")).alias("x"),
                         (F.col("north") - (F.col("t_row") + 0.5) * F.col("dy")).alias("y"))
 

@@ -154,13 +154,13 @@ def patch_neighbors(t):
     return P.neighbours(t.patches, 10.0, 640.0)
 
 
-@query("grid_intersects_aoi", """WITH b AS (SELECT min(min_x) AS x0, min(min_y) AS y0, max(max_x) AS x1, max(max_y) AS y1 FROM patches),
+@query("grid_meets_patches", """WITH b AS (SELECT min(min_x) AS x0, min(min_y) AS y0, max(max_x) AS x1, max(max_y) AS y1 FROM patches),
  g AS (SELECT i, j, x0 + i * 230.0::DOUBLE AS min_x, y0 + j * 230.0::DOUBLE AS min_y, CAST(greatest(1, ceil((y1 - y0) / 230.0::DOUBLE)) AS BIGINT) AS ny
    FROM b, range(0, 100000) ii(i), range(0, 1000) jj(j) WHERE i < greatest(1, ceil((x1 - x0) / 230.0::DOUBLE)) AND j < greatest(1, ceil((y1 - y0) / 230.0::DOUBLE))),
  h AS (SELECT DISTINCT i * ny + j AS n, g.min_x, g.min_y FROM g JOIN patches p ON p.region = '05LE4' AND g.min_x < p.max_x AND g.min_x + 256 > p.min_x
    AND g.min_y < p.max_y AND g.min_y + 256 > p.min_y)
  SELECT CAST(row_number() OVER (ORDER BY n) - 1 AS BIGINT) AS patch_no, min_x, min_y FROM h""")
-def grid_intersects_aoi(t):
+def grid_meets_patches(t):
     from understory.operators.grids import numbered, stride_grid
     grid = stride_grid(P.bounds(t.patches), 256.0, 230.0)
     aoi = t.patches.where(F.col("region") == "05LE4")
@@ -168,6 +168,36 @@ def grid_intersects_aoi(t):
     return numbered(grid.join(hits, "cell_no", "left_semi"), "cell_no", "patch_no").select("patch_no", "min_x", "min_y")
 
 
+AOI_SQL = """b AS (SELECT min(min_x) AS x0, min(min_y) AS y0, max(max_x) AS x1, max(max_y) AS y1 FROM patches),
+ d AS (SELECT *, x1 - x0 AS w, y1 - y0 AS h FROM b),
+ e AS (SELECT x0 + u1 * w AS ax, y0 + v1 * h AS ay, x0 + u2 * w AS bx, y0 + v2 * h AS by_ FROM d, (VALUES (0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0.125::DOUBLE), (1.0, 0.125, 1.0, 0.375), (1.0, 0.375, 0.375, 0.5),
+   (0.375, 0.5, 0.25, 1.0), (0.25, 1.0, 0.0, 0.0), (0.125, 0.125, 0.25, 0.125), (0.25, 0.125, 0.25, 0.375), (0.25, 0.375, 0.125, 0.375), (0.125, 0.375, 0.125, 0.125)) v(u1, v1, u2, v2)),
+ n AS (SELECT *, CAST(greatest(1, ceil(w / 230.0::DOUBLE)) AS BIGINT) AS nx, CAST(greatest(1, ceil(h / 230.0::DOUBLE)) AS BIGINT) AS ny FROM d),
+ g AS (SELECT i * ny + j AS n, x0 + i * 230.0::DOUBLE AS min_x, y0 + j * 230.0::DOUBLE AS min_y FROM (SELECT *, unnest(range(ny)) AS j FROM (SELECT *, unnest(range(nx)) AS i FROM n))),
+ c AS (SELECT g.*, ax, ay, bx, by_, (min_x - ax) * (by_ - ay) - (min_y - ay) * (bx - ax) AS s1, (min_x - ax) * (by_ - ay) - (min_y + 256 - ay) * (bx - ax) AS s2,
+   (min_x + 256 - ax) * (by_ - ay) - (min_y - ay) * (bx - ax) AS s3, (min_x + 256 - ax) * (by_ - ay) - (min_y + 256 - ay) * (bx - ax) AS s4 FROM g, e),
+ h AS (SELECT n, min_x, min_y FROM c GROUP BY ALL HAVING
+   bool_or(least(ax, bx) <= min_x + 256 AND greatest(ax, bx) >= min_x AND least(ay, by_) <= min_y + 256 AND greatest(ay, by_) >= min_y AND least(s1, s2, s3, s4) <= 0 AND greatest(s1, s2, s3, s4) >= 0)
+   OR count(*) FILTER (WHERE (ay > min_y) <> (by_ > min_y) AND min_x < ax + (bx - ax) * ((min_y - ay) / (by_ - ay))) % 2 = 1)"""
+
+#: A concave area with a hole, in shares of the patches' box.
+AOI = [[(0.0, 0.0), (1.0, 0.125), (1.0, 0.375), (0.375, 0.5), (0.25, 1.0)], [(0.125, 0.125), (0.25, 0.125), (0.25, 0.375), (0.125, 0.375)]]
+
+
+@query("grid_intersects_aoi", f"WITH {AOI_SQL} SELECT CAST(row_number() OVER (ORDER BY n) - 1 AS BIGINT) AS patch_no, min_x, min_y FROM h")
+def grid_intersects_aoi(t):
+    """Grid cells that meet a concave area with a hole, numbered in the order they are made."""
+    from understory.operators import geometry as G
+    from understory.operators.grids import numbered, stride_grid
+    box = P.bounds(t.patches)
+    rings = F.array(*[F.array(*[F.array(F.col("min_x") + u * (F.col("max_x") - F.col("min_x")), F.col("min_y") + v * (F.col("max_y") - F.col("min_y")))
+                                for u, v in ring]) for ring in AOI])
+    sides = G.edges(box.select(F.lit("aoi").alias("name"), rings.alias("rings")), ["name"])
+    grid = stride_grid(box, 256.0, 230.0)
+    hits = G.boxes_on_polygons(grid, sides, "cell_no", ["name"], 256.0).select("cell_no")
+    return numbered(grid.join(hits, "cell_no", "left_semi"), "cell_no", "patch_no").select("patch_no", "min_x", "min_y")
+
+
 @query("mask_point_filter", f"""WITH {LOCATED} SELECT fid, row, col FROM pts WHERE longitude BETWEEN 134 AND 134.5 AND latitude BETWEEN 34.25 AND 35
  AND (row, col) IN (SELECT (row, col) FROM reference_cells WHERE region = '04hf3' AND mask = 1)""")
 def mask_point_filter(t):
