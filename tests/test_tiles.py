@@ -122,3 +122,19 @@ def test_shifts(spark, small_tiles, wrap):
                     row[k] += part
     assert got.keys() == want.keys()
     assert all(np.allclose([got[k].n, got[k].target_sum, got[k].pred_sum, got[k].loss_sum], want[k]) for k in want)
+
+
+def test_elevation_stack(spark, small_tiles):
+    plane = {(r, c): 3.0 * r + 4.0 * c for r in range(8) for c in range(8)}
+    first = frame(spark, plane).withColumnRenamed("v", "elevation")
+    flat = frame(spark, {(0, 0): 5.0, (20, 20): 6.0}, [("g", 1, 1, None)]).withColumnRenamed("v", "elevation")
+    found = N.elevation_stack({"SRTM": first, "GMTED": None, "AW3D30": flat}, ["g"], 10.0)
+    assert found.columns == ["g", "row", "col", "SRTM_elevation", "SRTM_slope", "SRTM_aspect", "AW3D30_elevation"]
+    rows = {(x.row, x.col): x for x in found.collect()}
+    assert rows.keys() == {*plane, (20, 20)} and rows[0, 0].AW3D30_elevation == 5.0 and rows[20, 20].SRTM_elevation is None
+    for (r, c), v in plane.items():
+        x = rows[r, c]
+        assert x.SRTM_elevation == v and (x.SRTM_slope is None) == (x.SRTM_aspect is None) == (not (0 < r < 7 and 0 < c < 7))
+    for wrong in ({"SRTM": None}, {"other": first}):
+        with pytest.raises(ValueError):
+            N.elevation_stack(wrong, ["g"], 10.0)

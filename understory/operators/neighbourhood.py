@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from understory.functions.exprs import ColumnLike, as_col
+from understory.operators.alignment import stack_bands
 from understory.operators.tiles import CELL, by_tiles, window_statistics
 
 
@@ -44,22 +45,59 @@ def gamma_map(df: DataFrame, keys: Sequence[str], value: str, kernel: int, enl:
     return by_tiles(df, keys, [value], kernel // 2, compute, [value], empty=False)
 
 
+def _terrain(z: np.ndarray, r: np.ndarray, c: np.ndarray, cell_size: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and aspect in degrees from the eight neighbours, NaN where one of them is missing."""
+    near = {(dy, dx): z[r + dy, c + dx] for dy, dx in offsets(1)}
+    east = ((near[-1, 1] + 2 * near[0, 1] + near[1, 1]) - (near[-1, -1] + 2 * near[0, -1] + near[1, -1])) / (8 * cell_size)
+    south = ((near[1, -1] + 2 * near[1, 0] + near[1, 1]) - (near[-1, -1] + 2 * near[-1, 0] + near[-1, 1])) / (8 * cell_size)
+    whole = ~np.isnan(sum(near.values()))
+    slope = np.degrees(np.arctan(np.sqrt(east * east + south * south)))
+    # downslope direction clockwise from north
+    aspect = np.where(slope > 0, np.mod(np.degrees(np.arctan2(-east, south)) + 360.0, 360.0), 0.0)
+    return np.where(whole, slope, np.nan), np.where(whole, aspect, np.nan)
+
+
 def slope_aspect(df: DataFrame, keys: Sequence[str], elevation: str, cell_size: float) -> DataFrame:
     """Slope and aspect in degrees from the eight neighbours; only cells that have all of them."""
     def compute(grids: dict[str, np.ndarray], r: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
-        z = {(dy, dx): grids[elevation][r + dy, c + dx] for dy, dx in offsets(1)}
-        east = ((z[-1, 1] + 2 * z[0, 1] + z[1, 1]) - (z[-1, -1] + 2 * z[0, -1] + z[1, -1])) / (8 * cell_size)
-        south = ((z[1, -1] + 2 * z[1, 0] + z[1, 1]) - (z[-1, -1] + 2 * z[-1, 0] + z[-1, 1])) / (8 * cell_size)
-        whole = ~np.isnan(sum(z.values()))
-        slope = np.degrees(np.arctan(np.sqrt(east * east + south * south)))
-        # downslope direction clockwise from north
-        aspect = np.where(slope > 0, np.mod(np.degrees(np.arctan2(-east, south)) + 360.0, 360.0), 0.0)
-        return {n: np.where(whole, v, np.nan) for n, v in (("_z", z[0, 0]), ("slope", slope), ("aspect", aspect))}
+        slope, aspect = _terrain(grids[elevation], r, c, cell_size)
+        return {"_z": np.where(np.isnan(slope), np.nan, grids[elevation][r, c]), "slope": slope, "aspect": aspect}
 
     found = by_tiles(df, keys, [elevation], 1, compute, ["_z", "slope", "aspect"], empty=False)
     return found.withColumnRenamed("_z", elevation)
 
 
+#: Elevation sources, and those of which only the elevation is taken.
+ELEVATION_SOURCES, FLAT_SOURCES = ("GMTED", "SRTM", "AW3D30", "GLO30"), ("AW3D30",)
+
+
+def elevation_stack(sources: Mapping[str, DataFrame | None], keys: Sequence[str], cell_size: float, elevation: str = "elevation") -> DataFrame:
+    """``keys, row, col`` with elevation, slope and aspect of every source (``{source}_elevation`` and so on) side by side.
+
+    Each source has its own cells; a cell has a row if any source does. Slope and aspect need the source's eight
+    neighbours, and sources in ``FLAT_SOURCES`` have none. Sources that are absent (None) have no columns.
+    """
+    unknown = set(sources) - set(ELEVATION_SOURCES)
+    if unknown:
+        raise ValueError(f"unknown elevation sources: {sorted(unknown)}")
+    held = [n for n in ELEVATION_SOURCES if sources.get(n) is not None]
+    if not held:
+        raise ValueError("no elevation source")
+    stacked = stack_bands([(sources[n].where(F.col(elevation).isNotNull()).select(*keys, *CELL, F.col(elevation).cast("double").alias(n)), [n])
+                           for n in held], [*keys, *CELL])
+    outputs = [f"{n}_{part}" for n in held for part in (("elevation",) if n in FLAT_SOURCES else ("elevation", "slope", "aspect"))]
+
+    def compute(grids: dict[str, np.ndarray], r: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
+        out = {}
+        for n in held:
+            out[f"{n}_elevation"] = grids[n][r, c]
+            if n not in FLAT_SOURCES:
+                out[f"{n}_slope"], out[f"{n}_aspect"] = _terrain(grids[n], r, c, cell_size)
+        return out
+
+    return by_tiles(stacked, keys, held, 1, compute, outputs)
+
+
 def terrain_factor(angle: ColumnLike, slope: ColumnLike, aspect: ColumnLike, ascending: Column) -> Column:
     """Radar terrain correction factor from degrees."""
     ti, s, a = (F.radians(as_col(c)) for c in (angle, slope, aspect))

@@ -39,11 +39,37 @@ def elevation(t):
     return t.reference_cells.select("region", "row", "col", F.when(F.col("value") == -32767.0, 5.0).otherwise(F.col("value")).alias("elevation"))
 
 
-@query("terrain_slope_aspect", f"WITH {TERRAIN} SELECT region, row, col, v AS elevation, {r('slope')} AS slope, {r('aspect')} AS aspect FROM tr")
-def terrain_slope_aspect(t):
+@query("terrain_one_source", f"WITH {TERRAIN} SELECT region, row, col, v AS elevation, {r('slope')} AS slope, {r('aspect')} AS aspect FROM tr")
+def terrain_one_source(t):
     return rounded(N.slope_aspect(elevation(t), ["region"], "elevation", 30.0))
 
 
+def terrain_sql(source: str, name: str) -> str:
+    """The view ``{name}_t``: region, row, col, v, slope, aspect of a source's cells, NULL without all neighbours."""
+    return f"""{name}_n AS (SELECT a.region, a.row, a.col, max(a.v) AS v, count(*) AS n, {Z} FROM {source} a JOIN {source} b ON a.region = b.region AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY 1, 2, 3),
+ {name}_g AS (SELECT region, row, col, v, CASE WHEN n = 9 THEN ((z02 + 2 * z12 + z22) - (z00 + 2 * z10 + z20)) / 240 END AS gx, CASE WHEN n = 9 THEN ((z20 + 2 * z21 + z22) - (z00 + 2 * z01 + z02)) / 240 END AS gy FROM {name}_n),
+ {name}_s AS (SELECT region, row, col, v, degrees(atan(sqrt(gx * gx + gy * gy))) AS slope, degrees(atan2(-gx, gy)) AS a0 FROM {name}_g),
+ {name}_t AS (SELECT region, row, col, v, slope, CASE WHEN slope IS NULL THEN NULL WHEN slope > 0 THEN fmod(a0 + 360, 360) ELSE 0 END AS aspect FROM {name}_s)"""
+
+
+STACK_SQL = f"""gm AS (SELECT region, row, col, value AS v FROM reference_cells WHERE value <> -32767),
+ aw AS (SELECT region, row, col, max(elev_lowestmode) AS v FROM footprints WHERE beam <> 2 GROUP BY ALL),
+ gl AS (SELECT region, row, col, max(srtm) AS v FROM footprints GROUP BY ALL),
+ {terrain_sql('gm', 'gm')}, {terrain_sql('gl', 'gl')}"""
+
+
+@query("terrain_slope_aspect", f"""WITH {STACK_SQL} SELECT region, row, col, {r('gm_t.v')} AS "GMTED_elevation", {r('gm_t.slope')} AS "GMTED_slope", {r('gm_t.aspect')} AS "GMTED_aspect",
+ {r('aw.v')} AS "AW3D30_elevation", {r('gl_t.v')} AS "GLO30_elevation", {r('gl_t.slope')} AS "GLO30_slope", {r('gl_t.aspect')} AS "GLO30_aspect"
+ FROM gm_t FULL JOIN aw USING (region, row, col) FULL JOIN gl_t USING (region, row, col)""")
+def terrain_slope_aspect(t):
+    """The elevation stack of three sources; the fourth is absent."""
+    cell = ["region", "row", "col"]
+    ref = t.reference_cells.where(F.col("value") != -32767.0).select(*cell, F.col("value").alias("elevation"))
+    low = t.footprints.where(F.col("beam") != 2).groupBy(*cell).agg(F.max("elev_lowestmode").alias("elevation"))
+    glo = t.footprints.groupBy(*cell).agg(F.max("srtm").alias("elevation"))
+    return rounded(N.elevation_stack({"GMTED": ref, "SRTM": None, "AW3D30": low, "GLO30": glo}, ["region"], 30.0))
+
+
 FACTOR = ("sin(acos(cos(radians(38.0::DOUBLE)) * cos(radians(slope)) + sin(radians(38.0::DOUBLE)) * sin(radians(slope)) * "
           "cos(radians(aspect) - CASE WHEN row % 2 = 0 THEN 0 ELSE pi() END))) / sin(radians(38.0::DOUBLE))")
 
