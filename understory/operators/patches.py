@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from understory.functions.exprs import between
+from understory.functions.projection import unproject
 
 BOX = ("min_x", "min_y", "max_x", "max_y")
 
@@ -16,6 +17,17 @@ def bounds(patches: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
                                       F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"))
 
 
+def summary_rows(patches: DataFrame, path: Column) -> DataFrame:
+    """The 15 columns of a patch catalogue; the centre is told in degrees from the patch's own system (``crs`` as EPSG:n)."""
+    centred = patches.withColumns({
+        "file_path": path, "_x": (F.col("min_x") + F.col("max_x")) / 2, "_y": (F.col("min_y") + F.col("max_y")) / 2,
+        "_code": F.regexp_extract("crs", r"(\d+)$", 1).try_cast("int")})
+    size = {n: ((F.col(f"max_{a}") - F.col(f"min_{a}")) / F.col("pixel_size")).cast("int").alias(n) for n, a in (("width", "x"), ("height", "y"))}
+    return unproject(centred, "_x", "_y", "_code", "center_lon", "center_lat").select(
+        "patch_id", "file_path", F.col("temporal").alias("temporal_mode"), "band_count", (F.col("max_x") - F.col("min_x")).alias("patch_size_m"),
+        F.col("pixel_size").alias("pixel_size_m"), size["width"], size["height"], "center_lon", "center_lat", *BOX, "crs")
+
+
 def output_grid(patches: DataFrame, keys: Sequence[str] = (), pixel: str = "pixel_size") -> DataFrame:
     out = patches.groupBy(*keys).agg(
         *[f(c).alias(c) for c, f in zip(BOX, (F.min, F.min, F.max, F.max))], F.min(pixel).alias(pixel))

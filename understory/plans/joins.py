@@ -73,36 +73,35 @@ def points_vs_reference_same_system(t):
     return rounded(sampled.where(F.col("value").isNotNull()).select("patch_num", "prow", "pcol", "rh", "value"))
 
 
-@query("join_cloud_probability", f"""WITH cp AS (SELECT scene_id, px, arg_min(probability, obs_id) AS p FROM observations WHERE cloudy_pct < 30 GROUP BY scene_id, px)
+@query("join_cloud_probability", f"""WITH cp AS (SELECT scene_id, px, arg_min(probability, obs_id) AS p FROM observations GROUP BY scene_id, px)
  SELECT obs_id, {r('p')} AS probability FROM observations o LEFT JOIN cp ON o.scene_id = cp.scene_id AND o.px = cp.px""")
 def join_cloud_probability(t):
-    right = t.observations.where(F.col("cloudy_pct") < 30).select("scene_id", "px", "probability", "obs_id")
+    right = t.observations.select("scene_id", "px", "probability", "obs_id")
     left = t.observations.select("obs_id", "scene_id", "px")
     out = A.attach_first(left, right, ["scene_id", "px"], "probability", ["obs_id"])
     return rounded(out.select("obs_id", "probability"))
 
 
-@query("stack_bands", f"""WITH a AS (SELECT patch_num, row, col, "B4" AS b4 FROM pixels WHERE forest_mask = 1),
+@query("stack_bands", f"""WITH a AS (SELECT patch_num, row, col, "B4" AS b4 FROM pixels),
  b AS (SELECT patch_num, row, col, max(pred) AS p FROM predictions WHERE pred IS NOT NULL GROUP BY ALL),
- c AS (SELECT patch_num, row, col, min(rh) AS h FROM footprints WHERE rh > 40 GROUP BY ALL)
+ c AS (SELECT patch_num, row, col, min(rh) AS h FROM footprints GROUP BY ALL)
  SELECT patch_num, row, col, {r('b4')} AS "B4", {r('p')} AS pred, {r('h')} AS rh
  FROM a FULL OUTER JOIN b USING (patch_num, row, col) FULL OUTER JOIN c USING (patch_num, row, col)""")
 def stack_bands(t):
-    a = t.pixels.where(F.col("forest_mask") == 1).select(*CELL, "B4")
+    a = t.pixels.select(*CELL, "B4")
     b = t.predictions.where(F.col("pred").isNotNull()).groupBy(*CELL).agg(F.max("pred").alias("pred"))
-    c = t.footprints.where(F.col("rh") > 40).groupBy(*CELL).agg(F.min("rh").alias("rh"))
+    c = t.footprints.groupBy(*CELL).agg(F.min("rh").alias("rh"))
     return rounded(A.stack_bands([(a, ["B4"]), (b, ["pred"]), (c, ["rh"])], CELL))
 
 
 @query("align_rasters", f"""WITH p AS (SELECT region, row // 4 AS row, col // 4 AS col, avg(pred) AS pred FROM pixels WHERE pred IS NOT NULL GROUP BY ALL),
  q AS (SELECT region, row // 4 AS row, col // 4 AS col, avg(value) AS value FROM reference_cells WHERE value <> -32767 GROUP BY ALL),
- m AS (SELECT region, row // 4 AS row, col // 4 AS col, avg(mask) AS m FROM reference_cells WHERE row >= 8 GROUP BY ALL)
+ m AS (SELECT region, row // 4 AS row, col // 4 AS col, avg(mask) AS m FROM reference_cells GROUP BY ALL)
  SELECT region, CAST(row AS INT) AS row, CAST(col AS INT) AS col, {r('CASE WHEN m > 0 THEN pred END')} AS pred, {r('CASE WHEN m > 0 THEN value END')} AS value
  FROM p JOIN q USING (region, row, col) LEFT JOIN m USING (region, row, col)""")
 def align_rasters(t):
     ref = t.reference_cells
-    mask = ref.where(F.col("row") >= 8)
-    return rounded(R.align(t.pixels, ref.where(F.col("value") != -32767.0), ["region"], "pred", "value", 4, mask))
+    return rounded(R.align(t.pixels, ref.where(F.col("value") != -32767.0), ["region"], "pred", "value", 4, ref))
 
 
 @query("resample_average", f"""SELECT patch_num, CAST(row // 8 AS INT) AS row, CAST(col // 8 AS INT) AS col, {r('avg(reference_height)')} AS reference_height FROM footprints GROUP BY ALL""")
@@ -130,10 +129,10 @@ def resample_decimate(t):
     return rounded(R.decimate(t.pixels, "B4", ["patch_num"], limit=300, target=150))
 
 
-@query("add_reference_band", f"""WITH g AS (SELECT patch_num, row, col, avg(reference_height) AS v FROM footprints WHERE beam <= 4 GROUP BY ALL)
+@query("add_reference_band", f"""WITH g AS (SELECT patch_num, row, col, avg(reference_height) AS v FROM footprints GROUP BY ALL)
  SELECT patch_num, row, col, {r('"B4"')} AS "B4", {r('coalesce(v, 0)')} AS reference_height FROM pixels LEFT JOIN g USING (patch_num, row, col)""")
 def add_reference_band(t):
-    ref = R.average_to_grid(t.footprints.where(F.col("beam") <= 4), CELL, "reference_height")
+    ref = R.average_to_grid(t.footprints, CELL, "reference_height")
     px = t.pixels.select(*CELL, "B4").join(ref, CELL, "left")
     return rounded(px.withColumn("reference_height", F.coalesce("reference_height", F.lit(0.0))))
 

@@ -119,7 +119,7 @@ def augment_spatial(t):
 
 @query("augment_legacy")
 def augment_legacy(t):
-    return G.legacy(t.pixels.select(*CELL, "B4"), ["B4"], ["patch_num"], 64, crops=1, min_crop_size=64)
+    return G.legacy(t.pixels.select(*CELL, "B4"), ["B4"], ["patch_num"], 64, crops=4, min_crop_size=64)
 
 
 @query("augment_noise")

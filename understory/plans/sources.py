@@ -10,6 +10,7 @@ from understory.plans.joins import LOCATED
 from understory.plans.registry import query
 from understory.plans.shape import rounded
 from understory.plans.views import r
+from understory.plans.warps import unproject_sql
 from understory.sources import listing as L, scans as S, sinks as K
 
 CELL = ["patch_num", "row", "col"]
@@ -122,12 +123,13 @@ def sink_points_geojson(t):
     return rounded(back.select(F.get("geometry.coordinates", 0).alias("longitude"), F.get("geometry.coordinates", 1).alias("latitude"), F.col("properties.rh").alias("rh")))
 
 
-@query("sink_training_csv", f"""SELECT patch_num, count(*) AS n, {r('avg(rh)')} AS mean_target FROM pixels WHERE rh > 0 GROUP BY patch_num""")
+@query("sink_training_csv", f"""SELECT patch_num, count(*) AS n, {r('avg(rh)')} AS mean_target, sum(count(*)) OVER ()::BIGINT AS n_named FROM pixels WHERE rh > 0 GROUP BY patch_num""")
 def sink_training_csv(t):
     bands = ["B4", "B8"]
     path = K.write_training_csv(T.sparse_pixels(t.pixels, "rh").select("patch_num", *bands, "rh"), bands)
     back = t.spark.read.schema("patch_num long, B4 double, B8 double, rh double").option("header", "true").csv(path)
-    return rounded(back.groupBy("patch_num").agg(F.count(F.lit(1)).alias("n"), F.avg("rh").alias("mean_target")))
+    named = F.regexp_extract(F.lit(path), r"training-n(\d+)-b2", 1).cast("long")
+    return rounded(back.groupBy("patch_num").agg(F.count(F.lit(1)).alias("n"), F.avg("rh").alias("mean_target")).withColumn("n_named", named))
 
 
 @query("sink_predictions", f"""SELECT patch_id, row, col, {r('CASE WHEN forest_mask = 1 THEN coalesce(pred, 0) ELSE 0 END')} AS pred FROM pixels""")
@@ -145,10 +147,18 @@ def sink_metrics_json(t):
     return rounded(t.spark.read.schema("region string, n long, mae double").json(path))
 
 
-@query("sink_patch_summary", """SELECT patch_num, patch_id, region, n_pixels, n_rh, min_x, min_y, max_x, max_y, band_count, temporal, crs, pixel_size FROM patches""")
+CENTRED = "(SELECT *, (min_x + max_x) / 2 AS mid_x, (min_y + max_y) / 2 AS mid_y, 32653 AS code FROM patches)"
+
+
+@query("sink_patch_summary", f"""WITH c AS ({unproject_sql(CENTRED, 'mid_x', 'mid_y', 'code', 'lon', 'lat')})
+ SELECT patch_id, 'outputs/' || region || '/' || patch_id || '.tif' AS file_path, temporal AS temporal_mode, band_count, max_x - min_x AS patch_size_m, pixel_size AS pixel_size_m,
+ CAST((max_x - min_x) / pixel_size AS INT) AS width, CAST((max_y - min_y) / pixel_size AS INT) AS height, {r('lon')} AS center_lon, {r('lat')} AS center_lat,
+ min_x, min_y, max_x, max_y, crs FROM c""")
 def sink_patch_summary(t):
-    path = K.write_points_csv(t.patches, "patch-summary")
-    return t.spark.read.schema(t.patches.schema).option("header", "true").csv(path)
+    from understory.operators.patches import summary_rows
+    made = summary_rows(t.patches, F.concat(F.lit("outputs/"), "region", F.lit("/"), "patch_id", F.lit(".tif")))
+    path = K.write_points_csv(made, "patch-summary")
+    return rounded(t.spark.read.schema(made.schema).option("header", "true").csv(path))
 
 
 @query("sink_patches", "SELECT 'area_patch_' || lpad(CAST(patch_num AS VARCHAR), 4, '0') AS patch_id, count(*) AS n FROM pixels GROUP BY patch_num")
@@ -158,11 +168,19 @@ def sink_patches(t):
     return t.spark.read.schema("row int, col int, B4 double, patch_id string").parquet(path).groupBy("patch_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("latest_file")
+LATEST = ["rf_", "mlp_", "dchm_", "none_"]
+
+
+@query("latest_file", " UNION ALL ".join(
+    f"SELECT '{p}' AS prefix, arg_max(path, (size % 500, path)) AS path FROM files WHERE starts_with(regexp_extract(path, '[^/]*$'), '{p}')" for p in LATEST))
 def latest_file(t):
-    path = K.write_points_csv(t.patches.select("patch_num", "n_pixels"), "latest")
-    files = L.listing(t.spark, path, "*.csv")
-    return L.latest(files, "part-").select(F.col("path").isNotNull().alias("found"))
+    """The newest file of each prefix; of equal times the last by name."""
+    files = t.files.select("path", F.timestamp_seconds(F.col("size") % 500).alias("modificationTime"))
+    found = [L.latest(files, p).select(F.lit(p).alias("prefix"), "path") for p in LATEST]
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out
 
 
 @query("materialize_features", f"""SELECT patch_num, count(*) AS n, {r('avg("B4")')} AS mean_b4 FROM (SELECT *, count(*) OVER (PARTITION BY patch_num) AS c FROM pixels WHERE rh > 0 AND rh < 100) WHERE c >= 10 GROUP BY patch_num""")

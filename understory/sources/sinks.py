@@ -6,7 +6,7 @@ import hashlib
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from understory.session import new_path, shared_dir
 
@@ -41,8 +41,16 @@ def write_geojson(df: DataFrame, lon: str, lat: str, properties: Sequence[str],
 
 
 def write_training_csv(df: DataFrame, bands: Sequence[str]) -> str:
-    """The name carries the number of bands; the row count is in the table itself."""
-    return write_points_csv(df, f"training-b{len(bands)}")
+    """A folder of CSV whose name carries the number of bands and of rows; rows are counted while they are written."""
+    seen = Observation()
+    path = write_points_csv(df.observe(seen, F.count(F.lit(1)).alias("n")), f"training-b{len(bands)}")
+    parent, name = path.rsplit("/", 1)
+    named = f"{parent}/{name.replace('-b', f'-n{seen.get['n']}-b', 1)}"
+    place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    source = place(path)
+    if not source.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).rename(source, place(named)):
+        raise OSError(f"cannot rename {path} to {named}")
+    return named
 
 
 def filled_grid(grid: DataFrame, preds: DataFrame, keys: Sequence[str], value: str = "pred") -> DataFrame:
