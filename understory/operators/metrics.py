@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from understory.functions import fixed, stats
 from understory.functions.exprs import as_col, between, clip, equal_width_bin, height_class, is_finite
 from understory.session import written
-from understory.operators.order import average_ranks, exact_quantiles, value_counts
+from understory.operators.order import average_ranks, exact_quantiles, one_group, value_counts
 
 
 def _by(df: DataFrame, keys: Sequence[str]):
@@ -77,7 +77,7 @@ def with_spearman(metrics: DataFrame, df: DataFrame, x: str, y: str, keys: Seque
 
 def _pair_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """Put two one-row tables side by side."""
-    return (left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one")
+    return (left.withColumn("_one", one_group(left.columns[0])).join(right.withColumn("_one", one_group(right.columns[0])), "_one")
             .drop("_one"))
 
 
@@ -393,7 +393,7 @@ def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """False and true positive rate at every distinct score, as cumulative shares."""
     from understory.operators.order import running_counts
 
-    counts = (df.where(F.col(score).isNotNull()).withColumn("_g", F.lit(0)).groupBy("_g", score)
+    counts = (df.where(F.col(score).isNotNull()).withColumn("_g", one_group(score)).groupBy("_g", score)
               .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")))
     run = running_counts(counts, ["_g"], score, sums=("pos", "neg"))
     return run.select(
@@ -406,7 +406,7 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Share of (positive, negative) pairs ordered rightly, ties counted half."""
     from understory.operators.order import running_counts
 
-    counts = (df.where(F.col(score).isNotNull()).withColumn("_g", F.lit(0)).groupBy("_g", score)
+    counts = (df.where(F.col(score).isNotNull()).withColumn("_g", one_group(score)).groupBy("_g", score)
               .agg(F.count_if(F.col(label) == 1).cast("double").alias("pos"),
                    F.count_if(F.col(label) == 0).cast("double").alias("neg")))
     run = running_counts(counts, ["_g"], score, sums=("pos", "neg"))

@@ -24,11 +24,16 @@ SPLITS = 256
 _ALL = "_all"
 
 
+def one_group(column: str) -> Column:
+    """The number of the only group, told from a column: joins on a literal would be folded into cross joins."""
+    return F.pmod(F.hash(F.col(column)), F.lit(1))
+
+
 def null_safe_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """With no key the whole table is one group."""
     if keys:
         return df, list(keys)
-    return df.withColumn(_ALL, F.lit(0)), [_ALL]
+    return df.withColumn(_ALL, one_group(df.columns[0])), [_ALL]
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -189,7 +194,7 @@ def number_by_hash(df: DataFrame, keys: Sequence[str], hash_col: str, tie: Seque
     any row is sorted, and rows numbered above it after.
     """
     # A struct of the keys is never NULL, so rows with NULL keys meet, and join and window share one partitioning.
-    df, group = df.withColumn(_ALL, F.struct(*keys) if keys else F.lit(0)), [_ALL]
+    df, group = df.withColumn(_ALL, F.struct(*keys) if keys else one_group(hash_col)), [_ALL]
     slices = df.withColumn("_slice", F.floor(F.col(hash_col) * buckets / HASH_RANGE).cast("int"))
     counts = slices.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
