@@ -150,6 +150,30 @@ def test_cached_table_is_built_once(spark):
     assert [materialized(spark, "t", params, build).count() for _ in range(2)] == [7, 7] and len(built) == 1
 
 
+def test_cached_table_follows_its_inputs(spark, tmp_path):
+    import uuid
+
+    from understory.sources.sinks import materialized
+
+    built, params, source = [], {"id": uuid.uuid4().hex}, tmp_path / "in.csv"
+
+    def build():
+        built.append(1)
+        return spark.read.text(str(source))
+
+    for text, count, builds in (("a\n", 1, 1), ("a\n", 1, 1), ("a\nb\n", 2, 2)):
+        if not source.exists() or source.read_text() != text:
+            source.write_text(text)
+        assert materialized(spark, "t", params, build, [str(source)]).count() == count and len(built) == builds
+
+
+def test_columns_are_bound_by_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("v,other,id\n1.5,x,1\n")
+    (tmp_path / "b.csv").write_text("id,v\n2,2.5\n")
+    rows = scans.read_by_header(spark, str(tmp_path), "id int, v double").collect()
+    assert sorted((r.id, r.v) for r in rows) == [(1, 1.5), (2, 2.5)]
+
+
 def test_point_tables_need_two_heights_and_a_matching_name(spark, tmp_path):
     for name, other in (("dchm_04hf3_gedi_reference", "5.0"), ("dchm_05LE4_gedi_reference", ""), ("dchm_09gd4_other", "5.0")):
         (tmp_path / f"{name}.csv").write_text(f"id,rh,reference_height\n1,3.0,{other}\n")

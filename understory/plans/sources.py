@@ -55,8 +55,8 @@ def scan_footprint_csvs(t):
 @query("scan_training_csv", f"""WITH {LOCATED} SELECT fid, {r('rh')} AS target FROM pts WHERE longitude BETWEEN 134 AND 135 AND latitude BETWEEN 34 AND 35
  AND (row, col) IN (SELECT (row, col) FROM reference_cells WHERE region = '05LE4' AND mask = 1)""")
 def scan_training_csv(t):
-    folder = K.write_points_csv(t.footprints.select("fid", "rh", "longitude", "latitude"), "training-points")
-    points = t.spark.read.schema("fid string, rh double, longitude double, latitude double").option("header", "true").csv(folder)
+    folder = K.write_points_csv(t.footprints.select("latitude", "beam", "fid", "longitude", "rh"), "training-points")
+    points = S.read_by_header(t.spark, folder, "fid string, rh double, longitude double, latitude double")
     mask = t.reference_cells.where(F.col("region") == "05LE4")
     return rounded(S.training_points(points, "rh", ["fid"], mask, box=(134.0, 34.0, 135.0, 35.0), res=RES))
 
@@ -186,7 +186,8 @@ def latest_file(t):
 @query("materialize_features", f"""SELECT patch_num, count(*) AS n, {r('avg("B4")')} AS mean_b4 FROM (SELECT *, count(*) OVER (PARTITION BY patch_num) AS c FROM pixels WHERE rh > 0 AND rh < 100) WHERE c >= 10 GROUP BY patch_num""")
 def materialize_features(t):
     params = {"folder": t.folder, "target": "rh", "bands": ["B4", "B8"], "min_samples": 10}
-    table = K.materialized(t.spark, "features", params, lambda: T.training_table(t.pixels, "rh", ["B4", "B8"], 10))
+    table = K.materialized(t.spark, "features", params, lambda: T.training_table(t.pixels, "rh", ["B4", "B8"], 10),
+                           inputs=[f"{t.folder}/lineitem.parquet"])
     return rounded(table.groupBy("patch_num").agg(F.count(F.lit(1)).alias("n"), F.avg("B4").alias("mean_b4")))
 
 

@@ -13,7 +13,7 @@ from understory.operators.bands import is_temporal_file
 MODEL_MARKERS = [("rf_", "rf"), ("mlp_", "mlp"), ("2dunet_", "2d_unet"), ("3dunet_", "3d_unet")]
 
 
-def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+def listing(spark: SparkSession, folder: str | list[str], glob: str = "*") -> DataFrame:
     """Path, size and time of files; contents are never read."""
     return (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
             .load(folder).select("path", "modificationTime", "length"))

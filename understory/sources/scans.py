@@ -56,6 +56,11 @@ def read_point_tables(spark: SparkSession, folder: str, globs: Sequence[str], sc
     return df.join(enough, "source_file", "left_semi")
 
 
+def read_by_header(spark: SparkSession, folder: str, schema: str, globs: Sequence[str] = ("*.csv",)) -> DataFrame:
+    """CSV files with their columns bound by the names in each file's header: order and further columns do not matter."""
+    return _by_header(spark, folder, globs, StructType.fromDDL(schema)).drop("_path")
+
+
 def _by_header(spark: SparkSession, folder: str, globs: Sequence[str], schema: StructType) -> DataFrame:
     """All CSV files below a folder that match a pattern; the driver sees one header and path for each file, never a row."""
     found = {"pathGlobFilter": "*.csv", "recursiveFileLookup": "true"}

@@ -9,6 +9,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from understory.session import new_path, shared_dir
+from understory.sources.listing import listing
 
 # Height quantiles by preference.
 HEIGHT_PREFERENCE = ["rh100", "rh98", "rh95", "rh90", "rh"]
@@ -73,9 +74,19 @@ def write_json(df: DataFrame, label: str = "metrics") -> str:
     return path
 
 
-def materialized(spark: SparkSession, name: str, params: dict, build: Callable[[], DataFrame]) -> DataFrame:
-    """Table cached under a path made from its parameters; built only when no finished copy exists."""
-    key = hashlib.sha256(json.dumps(params, sort_keys=True).encode()).hexdigest()[:16]
+def data_version(spark: SparkSession, paths: Sequence[str]) -> str:
+    """A name for the present state of files or folders, from names, times and sizes; contents are not read."""
+    if not paths:
+        return ""
+    files = listing(spark, list(paths))
+    row = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)")).alias("h")).first()
+    return f"{row['n']}-{row['h']}"
+
+
+def materialized(spark: SparkSession, name: str, params: dict, build: Callable[[], DataFrame], inputs: Sequence[str] = ()) -> DataFrame:
+    """Table cached under a path made from its parameters and the state of its ``inputs``; built only when no finished copy exists."""
+    version = data_version(spark, inputs)
+    key = hashlib.sha256(json.dumps([params, version], sort_keys=True).encode()).hexdigest()[:16]
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{key}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
