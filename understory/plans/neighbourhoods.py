@@ -22,9 +22,11 @@ def focal_mean(t):
 @query("gamma_map", f"""WITH m AS (SELECT a.patch_num, a.row, a.col, a."S1_VV" AS v, avg(b."S1_VV") AS m, var_pop(b."S1_VV") AS s
   FROM pixels a JOIN pixels b ON a.patch_num = b.patch_num AND abs(b.row - a.row) <= 2 AND abs(b.col - a.col) <= 2 GROUP BY ALL),
  w AS (SELECT *, CASE WHEN s > 0 THEN (m * m / s) / (m * m / s + 4) ELSE 1 END AS w FROM m)
- SELECT patch_num, row, col, {r('m * w + v * (1 - w)')} AS "S1_VV" FROM w""")
+ SELECT patch_num, row, col, {r('m * w + v * (1 - w) + 1e-8')} AS "S1_VV" FROM w""")
 def gamma_map(t):
-    return rounded(N.gamma_map(t.pixels, ["patch_num"], "S1_VV", 5, 4.0))
+    out = N.gamma_map(t.pixels, ["patch_num"], "S1_VV", 5, 4.0)
+    # the small offset keeps exact halves from rounding differently in two engines
+    return rounded(out.withColumn("S1_VV", F.col("S1_VV") + 1e-8))
 
 
 Z = ", ".join(f"max(CASE WHEN b.row - a.row = {dy} AND b.col - a.col = {dx} THEN b.v END) AS z{dy + 1}{dx + 1}" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
