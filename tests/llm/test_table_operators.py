@@ -6,6 +6,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from check import TABLES, plain
@@ -91,6 +92,28 @@ def test_urls(spark):
     assert got[10][3] == got[11][3] == "block" and got[12][3] == "allow" and got[13] == ("É.net", "/\n/q://w", None, "allow")
 
 
+def test_a_list_in_shards_is_exact(spark):
+    """Domains and addresses on one list, with so few bits allowed that it is cut into shards."""
+    urls_ = [f"http://h{i % 300}.site{i % 40}.net/p{i}" for i in range(3000)]
+    pages = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    listed = {u[7:] for u in urls_[::17]} | {"site3.net", "h8.site8.net", "elsewhere.net"}
+    blocked = spark.createDataFrame([(k,) for k in sorted(listed)], "key string")
+    got = {r.page_id for r in urls.verdicts(pages, [], blocked, most_bits=500).collect() if r.verdict == "block"}
+    assert got == {i for i, u in enumerate(urls_) if u[7:] in listed or ".site3.net/" in u or "h8.site8.net/" in u}
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER.replace("0.001", "0.01")), reason="test tables are absent")
+def test_the_query_list_takes_several_levels(spark):
+    """All addresses of the pages and those of the blocked families: the levels alternate and end exactly."""
+    pages = spark.read.parquet(FOLDER.replace("0.001", "0.01") + "/pages.parquet")
+    keys = pages.select(F.concat(urls.host_of(F.col("url")), urls.path_of(F.col("url"))).alias("key"))
+    listed = keys.filter(F.col("key").rlike("casino-win|spam-farm|free-bets|ads-track|adult-x|cheap-pills"))
+    levels = urls.cascade(keys, listed)
+    assert len(levels) > 1 and sum(bits for _, bits, _ in levels) > 64
+    got = {r.key for r in keys.filter(urls.listed_in(F.col("key"), levels)).collect()}
+    assert got and got == {r.key for r in listed.collect()}
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are absent")
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, name):

@@ -4,6 +4,10 @@ The cascade answers exactly for every key of a known universe. Its first filter
 encodes the other keys of the universe that the first lets through, the third the listed keys that the second lets
 through, and so on until a level lets nothing through by mistake. The first level's error rate follows from the sizes
 of list and universe, so the false positives, and with them all later levels, stay about as few as the listed keys.
+
+Keys are domains and page addresses (host and path). A filter is a binary literal of seven bits a byte, put together on
+the executors as bitmaps. A list whose filters would grow beyond ``MOST_BITS`` is cut by key hash into shards, each with a
+cascade of its own and a pass over the urls of its own, so a query never carries more than that.
 """
 
 from __future__ import annotations
@@ -16,9 +20,13 @@ from understory.session import written
 
 #: Host or parent domain (or ``top/`` suffix), path prefix, verdict.
 Rule = tuple[str, str, str]
-#: Bits of all levels together beyond which the filters would be too large to send with a query (one byte a bit).
+#: Bits of a first level beyond which a list is cut into shards (seven bits a byte: about 9.6 MB).
 MOST_BITS = 1 << 26
 LEVELS = 60
+#: Bytes of a bitmap of the built-in bitmap functions.
+BITMAP = 4_096
+#: For each level the filter as a literal, its bits and its hashes.
+Levels = list[tuple[Column, int, int]]
 
 
 def host_of(url: Column) -> Column:
@@ -50,42 +58,58 @@ def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits)) for i in range(hashes)]
 
 
-def may_hold(key: Column, level: int, filter_: tuple[bytes, int]) -> Column:
-    """Whether a filter, one byte ``1`` or ``0`` for each bit, may hold the key."""
-    bits, hashes = filter_
+def may_hold(key: Column, level: int, filter_: tuple[Column, int, int]) -> Column:
+    """Whether a filter (literal, bits, hashes) may hold the key."""
+    packed, bits, hashes = filter_
     test = F.lit(True)
-    for at in _positions(key, level, len(bits), hashes):
-        test = test & (F.substring(F.lit(bits), (at + 1).cast("int"), F.lit(1)) == F.lit(b"1"))
+    for at in _positions(key, level, bits, hashes):
+        byte = F.substring(packed, (F.floor(at / 7) + 1).cast("int"), F.lit(1))
+        test = test & (F.getbit(F.ascii(byte.cast("string")).cast("int"), F.pmod(at, F.lit(7)).cast("int")) == 1)
     return test
 
 
-def bloom(keys: DataFrame, n: int, error: float, level: int) -> tuple[bytes, int]:
-    """A filter over ``n`` keys: set positions are aggregated on the executors, at most ``n * hashes`` reach the driver."""
-    bits = max(8, math.ceil(-n * math.log(error) / math.log(2) ** 2))
-    hashes = max(1, round(bits / n * math.log(2)))
-    if bits > MOST_BITS:
-        raise ValueError(f"a filter of {bits} bits is too large; split the list")
-    at = keys.select(F.explode(F.array(*_positions(F.col("key"), level, bits, hashes))).alias("at")).distinct()
-    made = bytearray(b"0" * bits)
-    for row in at.toLocalIterator():
-        made[row["at"]] = 49
-    return bytes(made), hashes
+def _bits(n: int, error: float) -> int:
+    return max(8, math.ceil(-n * math.log(error) / math.log(2) ** 2))
 
 
-def cascade(universe: DataFrame, listed: DataFrame) -> list[tuple[bytes, int]]:
-    """The levels for the column ``key`` of ``universe`` (all keys of the corpus) and ``listed``; NULL keys take no part.
+def _first_error(n: int, others: int) -> float:
+    return min(0.5, n / max(1, others) / math.sqrt(2)) if n else 0.5
 
-    Both tables may repeat keys; listed keys outside the universe need no bits. Keys are told apart by one grouping,
-    without a join, and each level's survivors come from the written table of marked keys.
+
+def bloom(keys: DataFrame, n: int, error: float, level: int) -> tuple[Column, int, int]:
+    """A filter over ``n`` keys. Executors aggregate bitmaps of 4 KB; those that are not empty reach the driver.
+
+    Seven of eight bits are used, so that each byte is an ASCII character, which built-in functions read back as a number.
     """
+    bits = _bits(n, error)
+    hashes = max(1, round(bits / n * math.log(2)))
+    at = keys.select(F.explode(F.array(*_positions(F.col("key"), level, bits, hashes))).alias("at"))
+    place = at.select((F.floor(F.col("at") / 7) * 8 + F.pmod(F.col("at"), F.lit(7)) + 1).alias("place"))
+    made = bytearray(-(-bits // 7))
+    for row in place.groupBy(F.bitmap_bucket_number("place").alias("b")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap")).toLocalIterator():
+        start = (row["b"] - 1) * BITMAP
+        made[start:start + BITMAP] = row["bitmap"][:len(made) - start]
+    return F.lit(bytes(made)), bits, hashes
+
+
+def marked_keys(universe: DataFrame, listed: DataFrame) -> DataFrame:
+    """``key, on``: every key of the universe once, and whether it is listed; told apart by one grouping, without a join."""
     keys = universe.select("key", F.lit(False).alias("on")).union(listed.select("key", F.lit(True)))
-    marked = written(keys.filter(F.col("key").isNotNull()).groupBy("key").agg(
+    return written(keys.filter(F.col("key").isNotNull()).groupBy("key").agg(
         F.max("on").alias("on"), F.max(~F.col("on")).alias("here")).filter("here").select("key", "on"), "url-keys")
-    size = {r["on"]: r["n"] for r in marked.groupBy("on").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n, others = size.get(True, 0), size.get(False, 0)
-    levels: list[tuple[bytes, int]] = []
+
+
+def _sizes(marked: DataFrame) -> tuple[int, int]:
+    row = marked.agg(F.count_if("on").alias("n"), F.count_if(~F.col("on")).alias("others")).first()
+    return row["n"], row["others"]
+
+
+def _levels(marked: DataFrame) -> Levels:
+    n, others = _sizes(marked)
+    levels: Levels = []
     left = marked
-    error = min(0.5, n / max(1, others) / math.sqrt(2)) if n else 0.5
+    error = _first_error(n, others)
     while n:
         if len(levels) == LEVELS:
             raise ValueError("the cascade does not end; are there keys with equal hashes?")
@@ -100,7 +124,30 @@ def cascade(universe: DataFrame, listed: DataFrame) -> list[tuple[bytes, int]]:
     return levels
 
 
-def listed_in(key: Column, levels: list[tuple[bytes, int]]) -> Column:
+def cascade(universe: DataFrame, listed: DataFrame) -> Levels:
+    """The levels for the column ``key`` of ``universe`` (all keys of the corpus) and ``listed``; NULL keys take no part.
+
+    Both tables may repeat keys; listed keys outside the universe need no bits. Each level's survivors come from the
+    written table of marked keys.
+    """
+    return _levels(marked_keys(universe, listed))
+
+
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(shards))
+
+
+def cascades(universe: DataFrame, listed: DataFrame, most_bits: int = MOST_BITS) -> list[Levels]:
+    """One cascade for each shard of the keys, in the order of ``shard_of``; one shard unless the list is large."""
+    marked = marked_keys(universe, listed)
+    n, others = _sizes(marked)
+    shards = max(1, -(-_bits(n, _first_error(n, others)) // most_bits)) if n else 1
+    if shards == 1:
+        return [_levels(marked)]
+    return [_levels(marked.filter(shard_of(F.col("key"), shards) == s)) for s in range(shards)]
+
+
+def listed_in(key: Column, levels: Levels) -> Column:
     """Exact membership for any key of the universe: the first level that says no decides."""
     answer = F.lit(len(levels) % 2 == 1)
     for level in reversed(range(len(levels))):
@@ -114,18 +161,32 @@ def suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
-def verdicts(pages: DataFrame, rules: list[Rule], blocked: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def keys_of(host: Column, path: Column) -> Column:
+    """What a list may hold of a url: its host, the parent domains and its address, that is host and path."""
+    return F.array_append(suffixes(host), F.concat(host, path))
+
+
+def verdicts(pages: DataFrame, rules: list[Rule], blocked: DataFrame, id_col: str = "page_id", url_col: str = "url",
+             most_bits: int = MOST_BITS) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for every row of ``pages``.
 
-    The longest rule that fits a url decides; else the cascade blocks hosts that are, or lie under, a domain in
-    ``blocked`` (column ``key``) and allows all others. Urls that are NULL or have no ``://`` have empty host and path,
-    which no rule fits and no list holds, so they are allowed. Rows may repeat; no rows give no rows. Built-in
-    expressions only; the block list's size bounds the filters, and it is checked.
+    The longest rule that fits a url decides; else the cascade blocks urls whose host is, or lies under, a domain in
+    ``blocked`` (column ``key``), or whose address is in it, and allows all others. Urls that are NULL or have no
+    ``://`` have empty host and path, which no rule fits and no list holds, so they are allowed. Rows may repeat; no rows
+    give no rows. Built-in expressions only; the list may be of any size.
     """
     judged = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    hosts = judged.select("host").filter(F.col("host") != "").distinct()
-    levels = cascade(hosts.select(F.explode(suffixes(F.col("host"))).alias("key")), blocked)
-    found = judged.withColumn("hit", matching_rule(F.col("host"), F.col("path"), rules))
-    bad = F.exists(suffixes(F.col("host")), lambda key: listed_in(key, levels)) if levels else F.lit(False)
+    places = judged.filter(F.col("host") != "").select("host", "path")
+    universe = places.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key")).union(
+        places.select(F.concat("host", "path").alias("key")))
+    found = judged.withColumn("hit", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("bad", F.lit(False))
+    keys = keys_of(F.col("host"), F.col("path"))
+    filters = cascades(universe, blocked, most_bits)
+    for s, levels in enumerate(filters):
+        if levels:
+            mine = F.exists(keys, lambda key: (shard_of(key, len(filters)) == s) & listed_in(key, levels))  # noqa: B023
+            found = found.withColumn("bad", F.col("bad") | ((F.col("host") != "") & mine))
+            if len(filters) > 1:
+                found = written(found, "url-verdicts")
     return found.select("page_id", "host", "path", F.col("hit.rule").alias("rule"),
-                        F.coalesce(F.col("hit.verdict"), F.when((F.col("host") != "") & bad, "block").otherwise("allow")).alias("verdict"))
+                        F.coalesce(F.col("hit.verdict"), F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
