@@ -24,7 +24,8 @@ def streamed(t: Tables) -> Tables:
 def stream_incremental_patches(t):
     arriving = streamed(t).footprints.select("patch_num", F.col("ts").cast("timestamp").alias("ts"))
     done = t.pixels.where(F.col("rh") > 40)
-    return t.spark.read.schema("patch_num long").parquet(J.new_items(arriving, done, "patch_num", "ts", DELAY))
+    found = J.new_items(arriving, done, "patch_num", "ts", DELAY)
+    return t.spark.read.schema("patch_num long, late boolean").parquet(found).where("NOT late").select("patch_num")
 
 
 @query("stream_monthly_mean", f"""SELECT px, year, month, {r('avg("VV")')} AS mean, count("VV") AS n FROM observations GROUP BY px, year, month""")

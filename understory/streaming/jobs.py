@@ -6,10 +6,17 @@ the shared folder and write with executors, so nothing passes through the driver
 
 from __future__ import annotations
 
+from datetime import timedelta
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from understory.session import new_path
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
 
 def file_stream(spark: SparkSession, folder: str, schema, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     """A stream over the files of a table, be it a folder of parts or a single file.
@@ -25,21 +32,82 @@ def file_stream(spark: SparkSession, folder: str, schema, glob: str | None = Non
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+class FirstSight(StatefulProcessor):
+    """Per key: the first row in time comes out as new; rows behind the watermark come out as late and are no sighting.
+
+    A row more than ``keep`` after the last sighting that came out is a new sighting again; where that is None, none is.
+    A timer clears the state of a key once the watermark is past that.
+    """
+
+    def __init__(self, ts: str, keep: timedelta | None) -> None:
+        self.ts, self.keep = ts, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "at timestamp")
+
+    def handleInputRows(self, key, rows, timerValues):
+        limit = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        known = self.seen.exists()
+        at = self.seen.get()[0] if known else None
+        first = None
+        for part in rows:
+            late = part[self.ts] < limit
+            if late.any():
+                yield part[late].assign(late=True)
+            on_time = part[~late]
+            if known and self.keep is not None and at is not None:
+                on_time = on_time[on_time[self.ts] > pd.Timestamp(at) + self.keep]
+            elif known:
+                on_time = on_time[:0]
+            if len(on_time):
+                best = on_time.sort_values(self.ts).head(1)
+                first = best if first is None else pd.concat([first, best]).sort_values(self.ts).head(1)
+        if first is not None:
+            found = first[self.ts].iloc[0]
+            self.seen.update((None if pd.isna(found) else found.to_pydatetime(),))
+            if self.keep is not None and not pd.isna(found):
+                self.handle.registerTimer(int((found + self.keep).timestamp() * 1000) + 1)
+            yield first.assign(late=False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at = self.seen.get()[0] if self.seen.exists() else None
+        if at is not None and (pd.Timestamp(at) + self.keep).timestamp() * 1000 < expiredTimerInfo.getExpiryTimeInMs():
+            self.seen.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
 def new_items(stream: DataFrame, done: DataFrame, key: str, ts: str, delay: str, checkpoint: str | None = None,
-              out: str | None = None) -> str:
-    """Keys of arriving rows without an output yet, each once; returns the folder written.
+              out: str | None = None, keep: timedelta | None = None) -> str:
+    """Keys of arriving rows without an output yet, each once; returns the folder written (columns key, ``ts``, ``late``).
 
-    Keys seen are remembered only as long as the watermark asks for.
+    ``delay`` only says which rows are late: they go to the part ``late=true`` of the folder, all of them, and do not count as
+    a sighting. How long a key counts as seen is ``keep``, in event time and apart from ``delay``; for good without it. The
+    state is keyed and kept with the checkpoint, so restarts give no key twice. A row without a time is never late.
     """
     spark = stream.sparkSession
     out = out or new_path(spark, "new-items")
     marked = done.select(key).distinct().withColumn("_done", F.lit(True))
-    fresh = (stream.withWatermark(ts, delay).join(marked, key, "left").where(F.col("_done").isNull())
-             .dropDuplicatesWithinWatermark([key]).select(key))
-    query = (fresh.writeStream.format("parquet").outputMode("append").option("path", out)
-             .option("checkpointLocation", checkpoint or new_path(spark, "checkpoint"))
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+    fresh = stream.select(key, ts).withWatermark(ts, delay).join(marked, key, "left").where(F.col("_done").isNull())
+    schema = StructType([stream.schema[key], stream.schema[ts], StructField("late", BooleanType())])
+    # A computed time is no event time to the operator, which would drop late rows before the processor sees them.
+    found = fresh.select(key, F.timestamp_micros(F.unix_micros(ts)).alias(ts)).groupBy(key).transformWithStateInPandas(
+        FirstSight(ts, keep), schema, "append", "EventTime")
+    provider = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = (found.writeStream.format("parquet").outputMode("append").option("path", out).partitionBy("late")
+                 .option("checkpointLocation", checkpoint or new_path(spark, "checkpoint"))
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        if provider is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, provider)
     return out
 
 
