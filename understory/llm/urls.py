@@ -118,7 +118,8 @@ def _levels(marked: DataFrame) -> Levels:
         levels.append(bloom(left.filter(F.col("on") == inside), n, error, here))
         # Of the inside keys all pass; of the others the false positives go on to the next level, with all inside keys.
         passed = may_hold(F.col("key"), here, levels[-1])
-        left = left.filter((F.col("on") == inside) | passed)
+        # They are written, so that no level tests the filters of all levels before it again.
+        left = written(left.filter((F.col("on") == inside) | passed), "url-left")
         n = left.filter(F.col("on") != inside).count()
         error = 0.5
     return levels
@@ -127,8 +128,8 @@ def _levels(marked: DataFrame) -> Levels:
 def cascade(universe: DataFrame, listed: DataFrame) -> Levels:
     """The levels for the column ``key`` of ``universe`` (all keys of the corpus) and ``listed``; NULL keys take no part.
 
-    Both tables may repeat keys; listed keys outside the universe need no bits. Each level's survivors come from the
-    written table of marked keys.
+    Both tables may repeat keys; listed keys outside the universe need no bits. Each level's survivors are written for
+    the next one.
     """
     return _levels(marked_keys(universe, listed))
 
