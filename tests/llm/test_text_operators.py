@@ -108,6 +108,25 @@ def test_bpe_equals_the_library_and_comes_back(documents):
     assert back == {i: (t or "").encode() for i, t in enumerate(texts) if i}
 
 
+def test_bpe_of_very_long_words():
+    """Words of up to 100,000 letters, random and periodic, have the library's ids; no row of a word is kept per round."""
+    import tiktoken
+
+    ranks, rng = bpe.read_ranks(RANKS), random.Random(4)
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = ["".join(rng.choice(letters) for _ in range(n)) for n, letters in (
+        (100_000, "abcdefghijklmnopqrstuvwxyz"), (100_000, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), (20_000, "etaoin"),
+        (20_000, "ab"), (3_000, "eté"))]
+    words += ["abcabcd" * 3_000, "a" * 20_001, "".join(rng.choice(["ing", "the", "er"]) for _ in range(8_000))]
+    words += ["".join(rng.choice(rng.choice(["aab", "théing", "0", "AaBb"])) for _ in range(rng.randint(60, 200))) for _ in range(300)]
+    worker = bpe.Bpe(ranks, PATTERN)
+    for word, got in zip(words, worker.encode(words)):
+        raw = word.encode()
+        pieces = worker._cut(raw)
+        assert b"".join(pieces) == raw
+        assert got.tolist() == library.encode_ordinary(word)
+
+
 def test_chunks_of_a_batch_give_the_ids_of_whole_texts():
     """Odd white space, unsafe and empty texts, special tokens as text, one-row batches and a memory that overflows."""
     import pyarrow as pa

@@ -8,7 +8,9 @@ by the token and its neighbour; each word's leftmost pair of least rank is contr
 from __future__ import annotations
 
 import base64
+import tempfile
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,27 +36,37 @@ WITH RECURSIVE step AS (
     JOIN merges USING (pair) GROUP BY w) AS b USING (w))
 SELECT w, arg_max(ids, n) AS ids FROM step GROUP BY w ORDER BY w
 """
-#: The same for long words: all occurrences of the least pair at once, from left to right without overlap, where no pair
-#: that the new token can form has a lower rank (so one at a time would contract just these); else the leftmost alone.
+#: The same for long words, a row for each token: of all occurrences of the least pair those are contracted at once, from
+#: left to right without overlap, that come up to the first whose new token forms a pair of lower rank with a neighbour
+#: (one at a time would contract just these). A swallowed token is NULL; only the newest row of a place is kept.
 ENCODE_LONG = """
-WITH RECURSIVE step AS (
-  SELECT w, p, t, 0 AS n FROM start
-  UNION ALL
-  SELECT w, p, t, n FROM (
-    SELECT w, p, n + 1 AS n, CASE WHEN hit THEN best ELSE t END AS t, coalesce(lag(hit) OVER (PARTITION BY w ORDER BY p), false) AS gone
-    FROM (SELECT w, p, n, t, best, least_pair AND (p = first_p OR safe AND
-                 row_number() OVER (PARTITION BY w, least_pair, i - nth ORDER BY p) % 2 = 1) AS hit
-          FROM (SELECT *, rank IS NOT DISTINCT FROM best AS least_pair, min(CASE WHEN rank = best THEN p END) OVER (PARTITION BY w) AS first_p,
-                       row_number() OVER (PARTITION BY w, rank IS NOT DISTINCT FROM best ORDER BY p) AS nth
-                FROM (SELECT *, min(rank) OVER (PARTITION BY w) AS best
-                      FROM (SELECT w, p, n, t, row_number() OVER word AS i, (t::BIGINT << 32) | lead(t) OVER word AS pair
-                            FROM step WINDOW word AS (PARTITION BY w ORDER BY p)) AS around
-                      LEFT JOIN merges USING (pair))
-                WHERE best IS NOT NULL)))
-  WHERE NOT gone)
-SELECT w, list(t ORDER BY p) AS ids
-FROM (SELECT w, p, t, n, max(n) OVER (PARTITION BY w) AS last FROM step)
-WHERE n = last GROUP BY w ORDER BY w
+WITH RECURSIVE step USING KEY (w, p) AS (
+  SELECT w, p, t FROM start
+  UNION
+  SELECT w, p, CASE WHEN hit THEN best WHEN NOT gone THEN t END AS t FROM (
+    SELECT w, p, t, best, hit, coalesce(lag(hit) OVER (PARTITION BY w ORDER BY p), false) AS gone
+    FROM (
+      SELECT w, p, t, best, fits AND p <= coalesce(min(p) FILTER (fits AND (l.rank < best OR r.rank < best)) OVER (PARTITION BY w), p) AS hit
+      FROM (
+        SELECT w, p, t, best, fits,
+               CASE WHEN fits THEN (CASE WHEN lag(fits, 2, false) OVER word THEN best ELSE lag(t) OVER word END << 32) | best END AS left_pair,
+               CASE WHEN fits THEN (best << 32) | lead(t, 2) OVER word END AS right_pair
+        FROM (
+          SELECT w, p, t, best, least_pair AND row_number() OVER (PARTITION BY w, least_pair, i - nth ORDER BY p) % 2 = 1 AS fits
+          FROM (
+            SELECT *, row_number() OVER (PARTITION BY w, least_pair ORDER BY p) AS nth
+            FROM (
+              SELECT *, rank IS NOT DISTINCT FROM best AS least_pair
+              FROM (
+                SELECT w, p, t, i, rank, min(rank) OVER (PARTITION BY w) AS best
+                FROM (SELECT w, p, t::BIGINT AS t, row_number() OVER word AS i, (t::BIGINT << 32) | lead(t) OVER word AS pair
+                      FROM recurring.step WHERE t IS NOT NULL WINDOW word AS (PARTITION BY w ORDER BY p))
+                LEFT JOIN merges USING (pair))
+              WHERE best IS NOT NULL)))
+        WINDOW word AS (PARTITION BY w ORDER BY p))
+      LEFT JOIN merges AS l ON l.pair = left_pair
+      LEFT JOIN merges AS r ON r.pair = right_pair)))
+SELECT w, list(t ORDER BY p) AS ids FROM step WHERE t IS NOT NULL GROUP BY w ORDER BY w
 """
 DECODE = """
 SELECT d, unhex(string_agg(h, '' ORDER BY p)) AS bytes FROM tokens JOIN vocabulary USING (t) GROUP BY d ORDER BY d
@@ -76,7 +88,8 @@ class Bpe:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
         self.known = Remembered(words)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": tempfile.gettempdir()})
+        self.ordered = sorted(ranks)
         left, right, rank = [], [], []
         for token, r in ranks.items():
             for k in range(1, len(token)):
@@ -86,12 +99,7 @@ class Bpe:
                     right.append(b)
                     rank.append(r)
         pairs = pa.table({"pair": np.array(left, np.int64) << 32 | np.array(right, np.int64), "rank": np.array(rank, np.int64)})
-        self._load("pairs", pairs)
-        self.db.execute("""
-            CREATE TEMP TABLE merges AS
-            SELECT pair, rank, coalesce(rank < least(l.low, r.low), true) AS safe FROM pairs
-            LEFT JOIN (SELECT pair >> 32 AS t, min(rank) AS low FROM pairs GROUP BY ALL) AS l ON l.t = rank
-            LEFT JOIN (SELECT pair & 4294967295 AS t, min(rank) AS low FROM pairs GROUP BY ALL) AS r ON r.t = rank""")
+        self._load("merges", pairs)
         self._load("vocabulary", pa.table({"t": np.array(list(ranks.values()), np.int32), "h": [k.hex() for k in ranks]}))
 
     def _load(self, name: str, table: pa.Table) -> None:
@@ -116,25 +124,54 @@ class Bpe:
         flat, ends = ids.values.to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy() * 4
         return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
+    def _cut(self, raw: bytes) -> list[bytes]:
+        """The pieces of a word between the places that no token of the vocabulary spans, which no contraction crosses."""
+        pieces, start, far = [], 0, 1
+        for a in range(len(raw)):
+            if a == far:
+                pieces.append(raw[start:a])
+                start, far = a, a + 1
+            end = far + 1
+            while end <= len(raw):
+                piece = raw[a:end]
+                k = bisect_left(self.ordered, piece)
+                if k == len(self.ordered) or not self.ordered[k].startswith(piece):
+                    break
+                if self.ordered[k] == piece:
+                    far = end
+                end += 1
+        return [*pieces, raw[start:]]
+
     def learn(self, unknown: set[str]) -> None:
-        """A word that is one token is that token; all others, short ones first, go through the recursive query."""
-        known, new = self.known.young, []
+        """A word that is one token is that token; all others, short ones first, go through the recursive query.
+
+        Long words go through it in the pieces that ``_cut`` leaves.
+        """
+        known, cut, pieces = self.known.young, {}, {}
         for word in unknown:
             raw = word.encode()
-            rank = self.ranks.get(raw)
-            if rank is None:
-                new.append((word, raw))
+            if raw in self.ranks:
+                known[word] = self.ranks[raw].to_bytes(4, "little")
+            else:
+                cut[word] = self._cut(raw) if len(raw) > LONG else [raw]
+                pieces |= dict.fromkeys(cut[word])
+        new = []
+        for piece in pieces:
+            if piece in self.ranks:
+                pieces[piece] = self.ranks[piece].to_bytes(4, "little")
             else:
-                known[word] = rank.to_bytes(4, "little")
-        new.sort(key=lambda x: len(x[1]))
+                new.append(piece)
+        new.sort(key=len)
         k = 0
         while k < len(new):
-            j, size, long = k, 0, len(new[k][1]) > LONG
-            while j < len(new) and j - k < WORDS_AT_ONCE and size < 16 * WORDS_AT_ONCE and (len(new[j][1]) > LONG) == long:
-                size += len(new[j][1])
+            j, size, long = k, 0, len(new[k]) > LONG
+            while j < len(new) and j - k < WORDS_AT_ONCE and size < 16 * WORDS_AT_ONCE and (len(new[j]) > LONG) == long:
+                size += len(new[j])
                 j += 1
-            known |= zip((w for w, _ in new[k:j]), self._contract([r for _, r in new[k:j]]))
+            pieces.update(zip(new[k:j], self._contract(new[k:j])))
             k = j
+        for word, parts in cut.items():
+            known[word] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words = [self.split(t) for t in texts]
