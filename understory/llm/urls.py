@@ -86,8 +86,9 @@ def bloom(keys: DataFrame, n: int, error: float, level: int) -> tuple[Column, in
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), level, bits, hashes))).alias("at"))
     place = at.select((F.floor(F.col("at") / 7) * 8 + F.pmod(F.col("at"), F.lit(7)) + 1).alias("place"))
     made = bytearray(-(-bits // 7))
+    # Not an iterator of partitions, which would start a job for each of them; all bitmaps together are MOST_BITS at most.
     for row in place.groupBy(F.bitmap_bucket_number("place").alias("b")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap")).toLocalIterator():
+            F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap")).collect():
         start = (row["b"] - 1) * BITMAP
         made[start:start + BITMAP] = row["bitmap"][:len(made) - start]
     return F.lit(bytes(made)), bits, hashes
