@@ -143,35 +143,36 @@ class Bpe:
         return [*pieces, raw[start:]]
 
     def learn(self, unknown: set[str]) -> None:
-        """A word that is one token is that token; all others, short ones first, go through the recursive query.
-
-        Long words go through it in the pieces that ``_cut`` leaves.
-        """
-        known, cut, pieces = self.known.young, {}, {}
+        """A word that is one token is that token; all others, short ones first, go through the recursive query."""
+        known, new, long = self.known.young, [], []
         for word in unknown:
             raw = word.encode()
-            if raw in self.ranks:
-                known[word] = self.ranks[raw].to_bytes(4, "little")
-            else:
-                cut[word] = self._cut(raw) if len(raw) > LONG else [raw]
-                pieces |= dict.fromkeys(cut[word])
-        new = []
-        for piece in pieces:
-            if piece in self.ranks:
-                pieces[piece] = self.ranks[piece].to_bytes(4, "little")
+            rank = self.ranks.get(raw)
+            if rank is not None:
+                known[word] = rank.to_bytes(4, "little")
+            elif len(raw) > LONG:
+                long.append((word, self._cut(raw)))
             else:
-                new.append(piece)
-        new.sort(key=len)
+                new.append((word, raw))
+        self._learn_all(new, known)
+        if long:
+            pieces: dict[bytes, bytes] = {}
+            whole = {p for _, parts in long for p in parts}
+            pieces |= {p: self.ranks[p].to_bytes(4, "little") for p in whole if p in self.ranks}
+            self._learn_all([(p, p) for p in whole if p not in self.ranks], pieces)
+            known |= {word: b"".join([pieces[p] for p in parts]) for word, parts in long}
+
+    def _learn_all(self, new: list[tuple[str | bytes, bytes]], known: dict) -> None:
+        """The ids of words, each given with its bytes, in batches of short or long ones."""
+        new.sort(key=lambda x: len(x[1]))
         k = 0
         while k < len(new):
-            j, size, long = k, 0, len(new[k]) > LONG
-            while j < len(new) and j - k < WORDS_AT_ONCE and size < 16 * WORDS_AT_ONCE and (len(new[j]) > LONG) == long:
-                size += len(new[j])
+            j, size, long = k, 0, len(new[k][1]) > LONG
+            while j < len(new) and j - k < WORDS_AT_ONCE and size < 16 * WORDS_AT_ONCE and (len(new[j][1]) > LONG) == long:
+                size += len(new[j][1])
                 j += 1
-            pieces.update(zip(new[k:j], self._contract(new[k:j])))
+            known |= zip((w for w, _ in new[k:j]), self._contract([r for _, r in new[k:j]]))
             k = j
-        for word, parts in cut.items():
-            known[word] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words = [self.split(t) for t in texts]
