@@ -48,9 +48,9 @@ def clean_texture(df: DataFrame, textures: Sequence[str], ref: str = "reference_
     stats = kept.agg(F.struct(*[
         F.struct(F.count(t).alias("n"), F.avg(t).alias("m"), F.stddev_samp(t).alias("s")).alias(t)
         for t in present]).alias("x")).scalar()
-    return kept.withColumns({
-        t: F.when((stats[t]["n"] <= 10) | (F.abs(F.col(t) - stats[t]["m"]) < F.lit(3.0) * stats[t]["s"]),
-                  F.col(t)) for t in present})
+    near = {t: (F.col(f"_stats.{t}.n") <= 10) | (F.abs(F.col(t) - F.col(f"_stats.{t}.m")) < F.lit(3.0) * F.col(f"_stats.{t}.s"))
+            for t in present}
+    return kept.withColumn("_stats", stats).withColumns({t: F.when(near[t], F.col(t)) for t in present}).drop("_stats")
 
 
 def fill_group_median(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -63,6 +63,7 @@ def fill_group_median(df: DataFrame, keys: Sequence[str], columns: Sequence[str]
         joined = join_groups(cleaned, med, keys, "left")
     else:
         row = med.select(F.struct(*names.values()).alias("x")).scalar()
-        joined = cleaned.withColumns({n: row[n] for n in names.values()})
+        joined = cleaned.withColumn("_medians", row)
+        return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"_medians.{n}"), F.lit(0.0)) for c, n in names.items()}).drop("_medians")
     return (joined.withColumns({c: F.coalesce(F.col(c), F.col(n), F.lit(0.0)) for c, n in names.items()})
             .drop(*names.values()))

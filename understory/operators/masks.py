@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from understory.functions.exprs import normalized_difference, qa60_clear
-from understory.operators.order import exact_median
+from understory.operators.order import exact_median, exact_medians
 
 MASK_KINDS = ("DW", "FNF", "NDVI", "WC", "CHM", "ALL", "none")
 
@@ -88,10 +88,24 @@ def combined_mask(obs: DataFrame, kind: str, key: str = "px", ndvi_threshold: fl
             return cover.select(key, both.alias("mask"))
         return cover.join(ndvi_mask(obs, key, ndvi_threshold), key).select(
             key, (both * F.col("ndvi_mask")).alias("mask"))
-    joined = (cover.join(dynamic_world_mask(obs, key), key).join(forest_type_mask(obs, key), key)
-              .join(ndvi_mask(obs, key, ndvi_threshold), key))
-    return joined.select(key, (F.greatest("dw", "fnf_mask", "wc_mask", "ndvi_mask")
-                               * F.col("chm_mask")).alias("mask"))
+    return _all_masks(obs, key, ndvi_threshold)
+
+
+def _all_masks(obs: DataFrame, key: str, ndvi_threshold: float, cloud: float = 70.0) -> DataFrame:
+    """Forest by any product, times height. One grouping gives all medians; an observation that is
+    cloudy or without edge bands only lacks its NDVI."""
+    clear = F.col("B8A").isNotNull() & F.col("B9").isNotNull() & (F.col("probability") < cloud)
+    rows = obs.select(key, F.col("dw_label").alias("_dw"), F.col("fnf4").alias("_m4"), F.col("fnf").alias("_m1"),
+                      F.when(clear, normalized_difference("B8", "B4")).alias("_ndvi"))
+    medians = exact_medians(rows, [key], ["_dw", "_m4", "_m1", "_ndvi"])
+    has = obs.agg(F.struct((F.count("fnf4") > 0).alias("d"), (F.count("fnf") > 0).alias("p")).alias("x")).scalar()
+    other = (F.col("_dw") == 0) | (F.col("_dw") >= 2)
+    typed = (F.when(F.col("_has.d"), F.col("_m4").isin(1.0, 2.0))
+             .when(F.col("_has.p"), F.col("_m1") == 1.0).otherwise(F.lit(True)))
+    forest = F.greatest(F.when(other, 0).otherwise(1), F.when(typed, 1).otherwise(0), F.col("wc_mask"),
+                        F.when(F.col("_ndvi") >= ndvi_threshold, 1).otherwise(0))
+    return (cover_masks(obs, key).join(medians, key, "left").withColumn("_has", has)
+            .select(key, (forest * F.col("chm_mask")).alias("mask")))
 
 
 def mask_points(points: DataFrame, mask: DataFrame, key: Sequence[str], value: str = "rh") -> DataFrame:

@@ -121,13 +121,18 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     rows = df.select(*group, F.col(value).cast("double").alias("_v"), *extra).where(F.col("_v").isNotNull())
     large = (rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
              .where(F.col("_rows") > limit).select(*group))
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
     frequency = F.lit(1) if weight is None else F.col(weight)
     small = (rows.join(large, group, "left_anti").groupBy(*group)
-             .agg(F.percentile("_v", wanted, frequency).alias(out)))
+             .agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]), frequency).alias(out)))
+    cut = _quantiles_in_parts(rows.join(large, group, "left_semi"), group, probs, out, weight, limit)
+    return small.unionByName(cut).select(*keys, out)
+
 
-    counts = value_counts(rows.join(large, group, "left_semi"), group, "_v", weight)
-    placed = _run_in_parts(counts, group, "_v", ["n"], limit)
+def _quantiles_in_parts(rows: DataFrame, group: Sequence[str], probs: Sequence[float], out: str,
+                        weight: str | None, limit: int) -> DataFrame:
+    """``exact_quantiles`` of the column ``_v`` for groups too large for one task."""
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    placed = _run_in_parts(value_counts(rows, group, "_v", weight), group, "_v", ["n"], limit)
     target = placed.select(
         *group, "_v", "n", "n_before",
         F.posexplode(F.transform(wanted, lambda p: p * (F.col("n_total") - 1))).alias("_i", "_pos"))
@@ -141,10 +146,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         F.max(F.when(holds(F.floor("_pos")), F.col("_v"))).alias("_lo"),
         F.max(F.when(holds(F.ceil("_pos")), F.col("_v"))).alias("_hi"))
     value_at = F.col("_lo") + (F.col("_pos") - F.floor("_pos")) * (F.col("_hi") - F.col("_lo"))
-    cut = (picked.groupBy(*group)
-           .agg(F.array_sort(F.collect_list(F.struct("_i", value_at.alias("q")))).alias("_q"))
-           .select(*group, F.col("_q.q").alias(out)))
-    return small.unionByName(cut).select(*keys, out)
+    return (picked.groupBy(*group)
+            .agg(F.array_sort(F.collect_list(F.struct("_i", value_at.alias("q")))).alias("_q"))
+            .select(*group, F.col("_q.q").alias(out)))
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str,
@@ -158,7 +162,8 @@ def exact_medians(df: DataFrame, keys: Sequence[str], values: Sequence[str],
     """Median of several columns per group, as one row per group with the same names.
 
     Groups within the limit take one aggregation for all columns. Larger groups have their
-    columns put under each other and go through ``exact_quantiles``.
+    columns put under each other and go through one cut into value ranges. A group without
+    any value has a row of NULLs while it is within the limit, and none beyond it.
     """
     df, group = null_safe_keys(df, keys)
     rows = df.select(*group, *[F.col(v).cast("double").alias(v) for v in values])
@@ -168,9 +173,9 @@ def exact_medians(df: DataFrame, keys: Sequence[str], values: Sequence[str],
 
     entries = F.array(*[F.struct(F.lit(v).alias("_name"), F.col(v).alias("_value")) for v in values])
     long = (rows.join(large, group, "left_semi").select(*group, F.explode(entries).alias("_kv"))
-            .select(*group, "_kv._name", "_kv._value"))
-    cut = exact_median(long, [*group, "_name"], "_value", "_median", limit).groupBy(*group).agg(*[
-        F.max(F.when(F.col("_name") == v, F.col("_median"))).alias(v) for v in values])
+            .select(*group, "_kv._name", F.col("_kv._value").alias("_v")))
+    cut = _quantiles_in_parts(long, [*group, "_name"], [0.5], "_median", None, limit).groupBy(*group).agg(*[
+        F.max(F.when(F.col("_name") == v, F.get("_median", 0))).alias(v) for v in values])
     return small.unionByName(cut).select(*keys, *values)
 
 
